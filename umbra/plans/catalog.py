@@ -1,0 +1,4 @@
+"""Queries of the redaction engine, and their SQL."""
+
+QUERIES = {}
+ORACLES = {}
