@@ -52,14 +52,17 @@ def ascii_lower(column):
     return F.translate(F.coalesce(column, F.lit("")), UPPER, UPPER.lower())
 
 
-def drop_rows(docs: DataFrame, keys: DataFrame, key_of) -> DataFrame:
+def drop_rows(docs: DataFrame, keys: DataFrame, key_of, merge: bool = False) -> DataFrame:
     """Remove rows of ``docs`` by ``keys(__id, __th, __kept)``, one row per row of docs.
 
     ``key_of(docs)`` adds the columns ``__id`` and ``__th`` that name a row. Rows of
     one name are repeats of each other; of those one stays if any of them stays.
+    ``merge`` plans a merge join at every size, for names to drop that are a fixed
+    share of all rows and outgrow any broadcast; else the planner goes by their size.
     """
     per = keys.groupBy("__id", "__th").agg(F.sum(F.col("__kept").cast("int")).alias("__n"), F.count("*").alias("__all"))
     lost = materialize(per.where("__n < __all"), "lost")
+    lost = lost.hint("merge") if merge else lost
     named = key_of(docs)
     same = lambda a, b: a["__id"].eqNullSafe(b["__id"]) & (a["__th"] == b["__th"])
     rest = named.join(lost, same(named, lost), "left_anti").drop("__id", "__th")

@@ -141,4 +141,4 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the rows that stay, with their columns."""
     rows = exact_groups(docs).select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__th"), F.col("kept").alias("__kept"))
-    return drop_rows(docs, rows, lambda d: d.withColumns({"__id": F.col("doc_id").cast("long"), "__th": F.sha2(ascii_lower(F.col("text")), 256)}))
+    return drop_rows(docs, rows, lambda d: d.withColumns({"__id": F.col("doc_id").cast("long"), "__th": F.sha2(ascii_lower(F.col("text")), 256)}), merge=True)
