@@ -33,110 +33,118 @@ from umbra.llm.common import materialize, partitions
 
 CELLS = 24
 GROW = 4
-MASK = (1 << 48) - 1
-_WRAP = (1 << 64) - 1
+MASK, _48, _ODD = np.uint64((1 << 48) - 1), np.uint64(48), np.uint64(0x9E3779B97F4A7C15)
+_SHIFTS = np.array([[0], [16], [32]], np.uint64)
 _CUT = 64  # of 256: the share of words after which a passage ends
 
 
-def passages(text: str) -> list[int]:
-    """Digests with checks: 48 bits of digest, 16 of check above them."""
+def passages(text: str) -> np.ndarray:
+    """Digests with checks, as uint64: 48 bits of digest, 16 of check above them."""
     seen: dict[bytes, int] = {}
-    out = []
-    h = xxhash.xxh3_64_intdigest
+    found: list[bytes] = []
     crc = zlib.crc32
     for line in text.encode("utf-8", "surrogatepass").split(b"\n"):
-        passage: list[bytes] = []
-        for word in line.split():
-            passage.append(word)
+        words = line.split()
+        begun = 0
+        for i, word in enumerate(words, 1):
             if crc(word) & 0xFF < _CUT:
-                out.append(b" ".join(passage))
-                passage = []
-        if passage:
-            out.append(b" ".join(passage))
-    digests = []
-    for p in out:
+                found.append(b" ".join(words[begun:i]))
+                begun = i
+        if begun < len(words):
+            found.append(b" ".join(words[begun:]))
+    h, digests = xxhash.xxh3_64_intdigest, []
+    for p in found:
         n = seen.get(p, 0)
         seen[p] = n + 1
-        x = h(p, n)
-        digests.append((x & MASK) | ((x & MASK) * 0x9E3779B97F4A7C15 & _WRAP) >> 48 << 48)
-    return digests
+        digests.append(h(p, n))
+    keys = np.array(digests, np.uint64) & MASK
+    return keys | check(keys) << _48
+
+
+def check(keys: np.ndarray) -> np.ndarray:
+    return (keys & MASK) * _ODD >> _48
 
 
 class Sketch:
-    """``count`` and ``xor`` per cell."""
+    """``count`` and ``xor`` per cell; work goes over whole arrays."""
 
-    __slots__ = ("count", "xor", "third")
+    __slots__ = ("count", "xor")
 
-    def __init__(self, cells: int = CELLS, items=(), sign: int = 1):
-        self.third = cells // 3
-        self.count, self.xor = [0] * (self.third * 3), [0] * (self.third * 3)
-        self.add(items, sign)
+    def __init__(self, cells: int = CELLS, items: np.ndarray | None = None):
+        self.count, self.xor = np.zeros(cells // 3 * 3, np.int64), np.zeros(cells // 3 * 3, np.uint64)
+        if items is not None:
+            self.add(items, 1)
 
-    def places(self, item: int):
-        t, x = self.third, item & MASK
-        return (x & 0xFFFF) * t >> 16, ((x >> 16 & 0xFFFF) * t >> 16) + t, ((x >> 32) * t >> 16) + 2 * t
+    def places(self, items: np.ndarray) -> np.ndarray:
+        third = len(self.count) // 3
+        parts = (items[None, :] >> _SHIFTS & np.uint64(0xFFFF)) * np.uint64(third) >> np.uint64(16)
+        return (parts.astype(np.int64) + np.array([[0], [third], [2 * third]])).ravel()
 
-    def add(self, items, sign: int = 1):
-        t, count, xor = self.third, self.count, self.xor
-        for x in items:
-            for i in ((x & 0xFFFF) * t >> 16, ((x >> 16 & 0xFFFF) * t >> 16) + t, ((x >> 32 & 0xFFFF) * t >> 16) + 2 * t):
-                count[i] += sign
-                xor[i] ^= x
+    def add(self, items: np.ndarray, signs):
+        at = self.places(items)
+        np.add.at(self.count, at, np.tile(signs, 3) if np.ndim(signs) else signs)
+        np.bitwise_xor.at(self.xor, at, np.tile(items, 3))
 
     def minus(self, other: Sketch) -> Sketch:
-        out = Sketch(self.third * 3)
-        out.count = [a - b for a, b in zip(self.count, other.count)]
-        out.xor = [a ^ b for a, b in zip(self.xor, other.xor)]
+        out = Sketch(len(self.count))
+        out.count, out.xor = self.count - other.count, self.xor ^ other.xor
         return out
 
-    def peel(self) -> tuple[list[int], list[int]] | None:
+    def size(self, total: int) -> float:
+        """About how many items it holds, of which ``total`` more are of the first
+        kind: the squared counts spread by one for each item and cell."""
+        return float(((self.count - total * 3 / len(self.count)) ** 2).sum()) / 3
+
+    def peel(self) -> tuple[np.ndarray, np.ndarray] | None:
         """Digests only in the first and only in the second; None where it is stuck."""
-        count, xor = self.count, self.xor
-        ready = [i for i, c in enumerate(count) if c in (1, -1)]
         mine, theirs = [], []
-        while ready:
-            i = ready.pop()
-            c, x = count[i], xor[i]
-            if c not in (1, -1) or x >> 48 != ((x & MASK) * 0x9E3779B97F4A7C15 & _WRAP) >> 48:
-                continue
-            (mine if c == 1 else theirs).append(x & MASK)
-            for j in self.places(x):
-                count[j] -= c
-                xor[j] ^= x
-                if count[j] in (1, -1):
-                    ready.append(j)
-        return None if any(count) or any(xor) else (mine, theirs)
+        while True:
+            pure = np.flatnonzero((self.count == 1) | (self.count == -1))
+            pure = pure[self.xor[pure] >> _48 == check(self.xor[pure])]
+            if not len(pure):
+                break
+            items, first = np.unique(self.xor[pure], return_index=True)
+            signs = self.count[pure[first]]
+            self.add(items, -signs)
+            mine.append(items[signs == 1])
+            theirs.append(items[signs == -1])
+        if self.count.any() or self.xor.any():
+            return None
+        none = [np.zeros(0, np.uint64)]
+        return np.concatenate(none + mine) & MASK, np.concatenate(none + theirs) & MASK
 
     def pack(self, n: int) -> str:
         raw = np.empty(len(self.count), [("c", "i1"), ("x", "<u8")])
-        raw["c"] = np.array(self.count, np.int64).astype(np.int8)
+        raw["c"] = self.count.astype(np.int8)
         raw["x"] = self.xor
         return base64.b64encode(n.to_bytes(4, "little") + raw.tobytes()).decode()
 
 
-def difference(a: list[int], b: list[int], cells: int = CELLS) -> tuple[list[int], list[int]]:
-    """Digests only in ``a`` and only in ``b``; larger sketches until peeling ends.
-    Sizes at which it can't end, as the lengths alone differ by more, are skipped."""
-    while cells < abs(len(a) - len(b)):
-        cells *= GROW
+def difference(a: np.ndarray, b: np.ndarray, base_a: Sketch | None = None, base_b: Sketch | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Digests only in ``a`` and only in ``b``. Where the base sketches (made here if
+    not given) can't be peeled, larger ones are made until peeling ends; the counts of
+    the stuck one tell how much larger the next has to be at least."""
+    left = (base_a or Sketch(CELLS, a)).minus(base_b or Sketch(CELLS, b))
+    cells, total = CELLS, len(a) - len(b)
     while True:
-        if cells > 8 * (len(a) + len(b)) + CELLS * GROW:  # two digests alike in all three places
-            sa, sb = ({x & MASK for x in y} for y in (a, b))
-            return sorted(sa - sb), sorted(sb - sa)
-        both = Sketch(cells, a)
-        both.add(b, -1)
-        found = both.peel()
+        need = 1.5 * max(left.size(total), abs(total))
+        found = left.peel() if need < 4 * cells else None
         if found is not None:
             return found
         cells *= GROW
+        while cells < need:
+            cells *= GROW
+        if cells > 8 * GROW * (len(a) + len(b)) + CELLS * GROW:  # two digests alike in all three places
+            return np.setdiff1d(a, b) & MASK, np.setdiff1d(b, a) & MASK
+        left = Sketch(cells, a)
+        left.add(b, -1)
 
 
-def likeness(a: list[int], b: list[int]) -> float:
-    if not a and not b:
+def likeness(a: np.ndarray, b: np.ndarray, base_a: Sketch | None = None, base_b: Sketch | None = None) -> float:
+    if not len(a) and not len(b):
         return 1.0
-    mine, theirs = difference(a, b)
-    same = len(a) - len(mine)
-    return same / (len(a) + len(theirs))
+    mine, theirs = difference(a, b, base_a, base_b)
+    return (len(a) - len(mine)) / (len(a) + len(theirs))
 
 
 def edit(text: str, following: str) -> str:
@@ -146,27 +154,31 @@ def edit(text: str, following: str) -> str:
 
 _SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 _NAMES = [x.split()[0] for x in _SCHEMA.split(", ")]
+SLICE = 256  # rows that are Python objects at a time
 
 
 def _pairs(batches):
     """Rows sorted by (range, guest, ...): each with the row after it in its range."""
-    before = None  # range, doc_id, text, passages
-
-    for batch in batches:
-        rows = []
-        for rng, guest, doc_id, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            text = text or ""
-            if before and before[4]:  # only the first guest is a next document
-                if before[0] == rng:
-                    continue
-            mine = passages(text)
-            if before and before[0] == rng and not before[4]:
-                changed = edit(before[2], text)
-                theirs = passages(changed)
-                rows.append((before[1], len(before[2]), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), Sketch(CELLS, before[3]).pack(len(before[3])), Sketch(CELLS, theirs).pack(len(theirs)), likeness(before[3], theirs), likeness(before[3], mine)))
-            before = (rng, doc_id, text, mine, guest)
-        types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-        yield pa.record_batch([pa.array(list(x), t) for x, t in zip(zip(*rows) if rows else [[]] * 7, types)], names=_NAMES)
+    before = None  # range, guest, doc_id, text, passages, sketch
+    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    for whole in batches:
+        for first in range(0, whole.num_rows, SLICE):
+            batch, rows = whole.slice(first, SLICE), []
+            for rng, guest, doc_id, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if before and before[1] and before[0] == rng:
+                    continue  # only the first guest is a next document
+                text = text or ""
+                mine = passages(text)
+                base = Sketch(CELLS, mine)
+                if before and before[0] == rng:
+                    _, _, old_id, old, theirs, old_base = before
+                    changed = edit(old, text)
+                    edited = passages(changed)
+                    edited_base = Sketch(CELLS, edited)
+                    digest = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest()
+                    rows.append((old_id, len(old), digest, old_base.pack(len(theirs)), edited_base.pack(len(edited)), likeness(theirs, edited, old_base, edited_base), likeness(theirs, mine, old_base, base)))
+                before = (rng, guest, doc_id, text, mine, base)
+            yield pa.record_batch([pa.array(list(x), t) for x, t in zip(zip(*rows) if rows else [[]] * 7, types)], names=_NAMES)
 
 
 def version_sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None) -> DataFrame:
