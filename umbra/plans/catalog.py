@@ -1,4 +1,543 @@
-"""Queries of the redaction engine, and their SQL."""
+"""Queries of the redaction engine, and their SQL.
 
-QUERIES = {}
-ORACLES = {}
+Queries named after values that the documents don't hold (SSN, IBAN, IPv6, ZIP) run on
+texts made from key columns in both engines.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from umbra.functions import spans
+from umbra.operators import results, routing, semantic, tracker, verify
+from umbra.sources import ingest
+
+KEY = "key"
+QUERIES: dict = {}
+ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def found(spark, sf_dir, only: list[str] | None = None, threshold: float = 0.35) -> DataFrame:
+    return results.entities(documents(spark, sf_dir).withColumn("entities", spans.detect(F.coalesce("text", F.lit("")), only, threshold)), "doc_id").select("doc_id", "entity_type", "start", "end", "score", "text")
+
+
+# -- SQL of the detectors: offsets are sums over what lies before a match -------------
+def _scan(source: str, label: str, pattern: str, score: float, ordinal: int, keep: str = "true", key: str = "doc_id") -> str:
+    p = pattern.replace("'", "''")
+    return f"""SELECT {key}, '{label}' AS entity_type, starts[i] AS "start", starts[i] + length(m[i]) AS "end", cast({score} AS double) AS score, m[i] AS text, {ordinal} AS ord FROM (
+ SELECT {key}, m, list_transform(range(1, len(m) + 1), lambda i: cast(coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS int)) AS starts, unnest(range(1, len(m) + 1)) AS i
+ FROM (SELECT {key}, regexp_extract_all(text, '{p}') AS m, string_split_regex(text, '{p}') AS g FROM ({source}) WHERE regexp_matches(text, '{p}'))) WHERE {keep}"""
+
+
+_D = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
+_OCT = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
+_P = {
+    "EMAIL_ADDRESS": r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b",
+    "US_SSN": r"\b(?:00[1-9]|0[1-9][0-9]|[1-578][0-9][0-9]|6[0-57-9][0-9]|66[0-57-9])[-\s]?(?:0[1-9]|[1-9][0-9])[-\s]?(?:000[1-9]|00[1-9][0-9]|0[1-9][0-9][0-9]|[1-9][0-9]{3})\b",
+    "CREDIT_CARD": r"\b[0-9](?:[ -]?[0-9]){12,18}\b",
+    "IBAN_CODE": r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b",
+    "URL": r"""(?i)\bhttps?://[^\s<>"')]+""",
+    "IPV4": rf"\b(?:{_OCT}\.){{3}}{_OCT}\b",
+    "IPV6": r"\b(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}\b",
+    "US_ZIP_CODE": r"\b[0-9]{5}(?:-[0-9]{4})?\b",
+}
+_DIGITS = "regexp_replace(m[i], '[^0-9]', '', 'g')"
+_LUHN = f"""length({_DIGITS}) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda k: CASE WHEN k % 2 = 1 THEN cast(reverse({_DIGITS})[k] AS int)
+ ELSE cast(reverse({_DIGITS})[k] AS int) * 2 - CASE WHEN cast(reverse({_DIGITS})[k] AS int) > 4 THEN 9 ELSE 0 END END)) % 10 = 0"""
+# a phone number may start wherever no digit is before it; the leftmost that fits, then on from its end
+_PHONE = r"^((?:\+?[0-9]{1,2}[\s.-]?)?(?:\([0-9]{3}\)|[0-9]{3})[\s.-]?[0-9]{3}[\s.-]?[0-9]{4})(?:[^0-9]|$)"
+_PHONES = f"""SELECT doc_id, 'PHONE_NUMBER' AS entity_type, s AS "start", s + length(v) AS "end", cast(0.85 AS double) AS score, v AS text, 4 AS ord FROM (
+ SELECT doc_id, s, v FROM (SELECT doc_id, unnest(list_reduce(list_transform(c, lambda x: {{'last': cast(0 AS bigint), 'kept': [x]}}), lambda a, x: CASE WHEN x.kept[1].s >= a.kept[-1].s + length(a.kept[-1].v) THEN {{'last': cast(0 AS bigint), 'kept': a.kept || x.kept}} ELSE a END).kept, recursive := true)
+  FROM (SELECT doc_id, list({{'s': cast(p - 1 AS bigint), 'v': regexp_extract(substr(text, p, 24), '{_PHONE}', 1)}} ORDER BY p) AS c FROM (
+   SELECT doc_id, text, unnest(range(1, length(text) + 1)) AS p FROM ({_D}) WHERE regexp_matches(text, '[0-9]{{3}}[\\s.-]?[0-9]{{4}}'))
+   WHERE substr(text, p, 1) IN ('+', '(', '0', '1', '2', '3', '4', '5', '6', '7', '8', '9') AND (p = 1 OR NOT regexp_matches(substr(text, p - 1, 1), '[0-9]')) AND regexp_matches(substr(text, p, 24), '{_PHONE}') GROUP BY doc_id)))"""
+_COLS = 'doc_id, entity_type, cast("start" AS int) AS "start", cast("end" AS int) AS "end", score, text'
+
+
+def _one(label: str, pattern: str | None = None, ordinal: int = 0) -> str:
+    keep, score = (_LUHN, 0.95) if label == "CREDIT_CARD" else ("true", 0.85)
+    return f"SELECT {_COLS} FROM ({_scan(_D, label, pattern or _P[label], score, ordinal, keep)})"
+
+
+_ALL = " UNION ALL ".join([
+    _scan(_D, "EMAIL_ADDRESS", _P["EMAIL_ADDRESS"], 0.85, 0), _scan(_D, "US_SSN", _P["US_SSN"], 0.85, 1), _scan(_D, "CREDIT_CARD", _P["CREDIT_CARD"], 0.95, 2, _LUHN),
+    _scan(_D, "IBAN_CODE", _P["IBAN_CODE"], 0.85, 3), _PHONES, _scan(_D, "URL", _P["URL"], 0.85, 5), _scan(_D, "IP_ADDRESS", _P["IPV4"], 0.85, 6), _scan(_D, "IP_ADDRESS", _P["IPV6"], 0.85, 7),
+])
+
+
+def _resolved(every: str, key: str = "doc_id") -> str:
+    item = """{'t': entity_type, 's': cast("start" AS bigint), 'e': cast("end" AS bigint), 'score': score, 'v': text}"""
+    return f"""SELECT {key}, e.t AS entity_type, cast(e.s AS int) AS "start", cast(e.e AS int) AS "end", e.score AS score, e.v AS text FROM (
+ SELECT {key}, unnest(list_reduce(list_transform(l, lambda x: [x]), lambda a, x: CASE WHEN x[1].s >= a[-1].e THEN a || x ELSE a END)) AS e
+ FROM (SELECT {key}, list({item} ORDER BY "start", "start" - "end", score DESC, ord) AS l FROM ({every}) GROUP BY {key}))"""
+
+
+_FOUND = _resolved(_ALL)
+
+
+@query(_one("EMAIL_ADDRESS"))
+def detect_email(spark, sf_dir):
+    return found(spark, sf_dir, ["EMAIL_ADDRESS"])
+
+
+@query(_one("CREDIT_CARD"))
+def detect_card_luhn(spark, sf_dir):
+    return found(spark, sf_dir, ["CREDIT_CARD"])
+
+
+@query(f"SELECT {_COLS} FROM ({_scan(_D, 'IP_ADDRESS', _P['IPV4'], 0.85, 6)})")
+def detect_ipv4(spark, sf_dir):
+    rows = found(spark, sf_dir, ["IP_ADDRESS"])
+    return rows.where(F.col("text").contains("."))
+
+
+@query(f"SELECT {_COLS} FROM ({_PHONES})")
+def detect_phone(spark, sf_dir):
+    return found(spark, sf_dir, ["PHONE_NUMBER"])
+
+
+@query(f"""SELECT page_id, entity_type, cast("start" AS int) AS "start", cast("end" AS int) AS "end", text FROM ({_scan('SELECT page_id, url AS text FROM pages', 'URL', _P['URL'], 0.85, 5, key='page_id')})""")
+def detect_url(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages").withColumn("entities", spans.detect(F.col("url"), ["URL"]))
+    return results.entities(rows, "page_id").select("page_id", "entity_type", "start", "end", "text")
+
+
+# -- texts made from key columns -------------------------------------------------------
+_MADE_SQL = """SELECT c_custkey AS key, concat('SSN ', lpad(cast(c_custkey % 999 AS varchar), 3, '0'), '-', lpad(cast(c_custkey % 97 AS varchar), 2, '0'), '-', lpad(cast(c_custkey % 9973 AS varchar), 4, '0'),
+ ' iban DE', lpad(cast(c_custkey % 89 AS varchar), 2, '0'), lpad(cast(c_custkey AS varchar), 18, '3'), ' ip fe80:0:', cast(c_custkey % 9999 AS varchar), ':1:2 zip ', lpad(cast(c_custkey AS varchar), 5, '1'), '-4321',
+ ' see http://', cast(c_custkey % 255 AS varchar), '.1.2.3/a@b.com') AS text FROM customer"""
+
+
+def made(spark, sf_dir) -> DataFrame:
+    k = F.col("c_custkey")
+    pad = lambda x, n, c: F.lpad(x.cast("string"), n, c)
+    text = F.concat(
+        F.lit("SSN "), pad(k % 999, 3, "0"), F.lit("-"), pad(k % 97, 2, "0"), F.lit("-"), pad(k % 9973, 4, "0"), F.lit(" iban DE"), pad(k % 89, 2, "0"), pad(k, 18, "3"),
+        F.lit(" ip fe80:0:"), (k % 9999).cast("string"), F.lit(":1:2 zip "), pad(k, 5, "1"), F.lit("-4321 see http://"), (k % 255).cast("string"), F.lit(".1.2.3/a@b.com"),
+    )
+    return table(spark, sf_dir, "customer").select(k.alias("key"), text.alias("text"))
+
+
+def _made_query(label: str, name: str, pattern: str):
+    def run(spark, sf_dir):
+        rows = made(spark, sf_dir).withColumn("entities", spans.detect(F.col("text"), [label]))
+        out = results.entities(rows, "key").select("key", "entity_type", "start", "end", "text")
+        return out.where(F.col("text").contains(":")) if name == "detect_ipv6" else out
+
+    run.__name__ = name
+    query(f"""SELECT key, entity_type, cast("start" AS int) AS "start", cast("end" AS int) AS "end", text FROM ({_scan(_MADE_SQL, label, _P[pattern], 0.85, 0, key='key')})""")(run)
+
+
+for _label, _name, _pattern in (("US_SSN", "detect_ssn", "US_SSN"), ("IBAN_CODE", "detect_iban", "IBAN_CODE"), ("IP_ADDRESS", "detect_ipv6", "IPV6"), ("US_ZIP_CODE", "detect_zip_optin", "US_ZIP_CODE")):
+    _made_query(_label, _name, _pattern)
+
+_NESTED = " UNION ALL ".join(_scan(_MADE_SQL, label, _P[p], 0.85, n, key="key") for n, (label, p) in enumerate([("EMAIL_ADDRESS", "EMAIL_ADDRESS"), ("US_SSN", "US_SSN"), ("IBAN_CODE", "IBAN_CODE"), ("URL", "URL"), ("IP_ADDRESS", "IPV4"), ("IP_ADDRESS", "IPV6")]))
+
+
+@query(_resolved(_NESTED, "key"))
+def resolve_overlaps(spark, sf_dir):
+    wanted = ["EMAIL_ADDRESS", "US_SSN", "IBAN_CODE", "URL", "IP_ADDRESS"]
+    return results.entities(made(spark, sf_dir).withColumn("entities", spans.detect(F.col("text"), wanted)), "key").drop("nth")
+
+
+@query(_FOUND)
+def entity_offsets(spark, sf_dir):
+    return found(spark, sf_dir)
+
+
+def _redact_sql(replacement: str) -> str:
+    return f"SELECT doc_id, regexp_replace(text, '{_P['EMAIL_ADDRESS']}', '{replacement}', 'g') AS redacted FROM ({_D})"
+
+
+def _redacted(spark, sf_dir, mode, only=("EMAIL_ADDRESS",), **how):
+    rows = results.redact_text(documents(spark, sf_dir), options=results.Options(mode=mode, entities=only, **how))
+    return rows.select("doc_id", F.col("redacted_text").alias("redacted"))
+
+
+@query(_redact_sql("<EMAIL_ADDRESS>"))
+def redact_replace(spark, sf_dir):
+    return _redacted(spark, sf_dir, "replace")
+
+
+@query(_redact_sql("********"))
+def redact_mask(spark, sf_dir):
+    return _redacted(spark, sf_dir, "mask")
+
+
+@query(_redact_sql(""))
+def redact_remove(spark, sf_dir):
+    return _redacted(spark, sf_dir, "redact")
+
+
+@query(_redact_sql("<EMAIL_ADDRESS>"))
+def redact_blur_text(spark, sf_dir):
+    return _redacted(spark, sf_dir, "blur")
+
+
+_IPAD, _OPAD = (x.hex() for x in spans.hmac_pads(KEY))
+_TOKEN = f"substr(sha256(unhex('{_OPAD}' || sha256(unhex('{_IPAD}' || hex(encode(text)))))), 1, 12)"
+
+
+@query(f"SELECT doc_id, \"start\", '<' || entity_type || ':' || {_TOKEN} || '>' AS token FROM ({_FOUND})")
+def redact_hash_tokens(spark, sf_dir):
+    pads = spans.hmac_pads(KEY)
+    return found(spark, sf_dir).select("doc_id", "start", spans.replacement({"entity_type": F.col("entity_type"), "text": F.col("text")}, "hash", pads=pads).alias("token"))
+
+
+_REWRITTEN = f"""SELECT d.doc_id, CASE WHEN l IS NULL THEN d.text ELSE array_to_string(list_transform(range(1, len(l) + 1), lambda i: substr(d.text, CASE WHEN i = 1 THEN 1 ELSE l[i-1].e + 1 END, l[i].s - CASE WHEN i = 1 THEN 0 ELSE l[i-1].e END) || l[i].r), '') || substr(d.text, l[-1].e + 1) END AS redacted
+FROM ({_D}) d LEFT JOIN (SELECT doc_id, list({{'s': "start", 'e': "end", 'r': REPLACEMENT}} ORDER BY "start") AS l FROM ({_FOUND}) GROUP BY doc_id) f ON d.doc_id = f.doc_id"""
+
+
+@query(_REWRITTEN.replace("REPLACEMENT", f"'<' || entity_type || ':' || {_TOKEN} || '>'"))
+def redact_hash(spark, sf_dir):
+    return _redacted(spark, sf_dir, "hash", None, hash_key=KEY)
+
+
+@query(_REWRITTEN.replace("REPLACEMENT", "'<' || entity_type || '>'"))
+def redact_all_labels(spark, sf_dir):
+    return _redacted(spark, sf_dir, "replace", None)
+
+
+# -- counts, summaries, reports --------------------------------------------------------
+@query(f"SELECT entity_type, count(*) AS n FROM ({_FOUND}) GROUP BY 1")
+def entity_counts_by_label(spark, sf_dir):
+    return found(spark, sf_dir).groupBy("entity_type").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT doc_id, entity_type, count(*) AS n FROM ({_FOUND}) GROUP BY 1, 2")
+def per_document_counts(spark, sf_dir):
+    rows = documents(spark, sf_dir).withColumn("entities", spans.detect(F.col("text"), None, 0.35))
+    return rows.select("doc_id", F.explode(results.counts_map()).alias("c")).select("doc_id", "c.*")  # counted within the row, no shuffle
+
+
+def _results(spark, sf_dir):
+    return results.as_results(results.redact_text(documents(spark, sf_dir)), "doc_id")
+
+
+@query(f"SELECT (SELECT count(*) FROM documents) AS documents, 0::bigint AS failed, 0::bigint AS incomplete, (SELECT count(*) FROM ({_FOUND})) AS entities, true AS all_safe, 0 AS exit_code")
+def run_summary(spark, sf_dir):
+    return results.run_summary(_results(spark, sf_dir))
+
+
+def _kept_attachments(spark, sf_dir):
+    """Results in which every 7th document failed and every 5th declares a rest."""
+    rest = F.when(F.col("doc_id") % 5 == 0, F.array(F.lit("attachment.bin"))).otherwise(F.array().cast("array<string>"))
+    rows = documents(spark, sf_dir).select("doc_id", (F.col("doc_id") % 7 != 0).alias("success"), rest.alias("unredacted"), F.array().cast(f"array<{spans.ENTITY}>").alias("entities"))
+    return rows
+
+
+@query("SELECT doc_id, doc_id % 7 <> 0 AS success, doc_id % 7 <> 0 AND doc_id % 5 <> 0 AS fully_redacted FROM documents")
+def fully_redacted_flags(spark, sf_dir):
+    return _kept_attachments(spark, sf_dir).select("doc_id", "success", results.fully_redacted().alias("fully_redacted"))
+
+
+@query("SELECT count(*) FILTER (doc_id % 7 = 0) AS failed, count(*) FILTER (doc_id % 7 <> 0 AND doc_id % 5 = 0) AS incomplete, CASE WHEN count(*) FILTER (doc_id % 7 = 0 OR doc_id % 5 = 0) > 0 THEN 1 ELSE 0 END AS exit_code FROM documents")
+def exit_code(spark, sf_dir):
+    return results.run_summary(_kept_attachments(spark, sf_dir)).select("failed", "incomplete", "exit_code")
+
+
+@query(f"SELECT {_COLS} FROM ({_scan(_D, 'CREDIT_CARD', _P['CREDIT_CARD'], 0.95, 2, _LUHN)})")
+def threshold_filter(spark, sf_dir):
+    return found(spark, sf_dir, None, 0.9)  # over 0.85 only proven recognizers are planned
+
+
+@query(_resolved(_scan(_D, "EMAIL_ADDRESS", _P["EMAIL_ADDRESS"], 0.85, 0) + " UNION ALL " + _scan(_D, "IP_ADDRESS", _P["IPV4"], 0.85, 6) + " UNION ALL " + _scan(_D, "IP_ADDRESS", _P["IPV6"], 0.85, 7)))
+def entity_filter(spark, sf_dir):
+    return found(spark, sf_dir, ["IP_ADDRESS", "EMAIL_ADDRESS"])
+
+
+@query(f"""SELECT cast(d.doc_id AS varchar) AS source, coalesce(n, 0) AS entity_count, coalesce(labels, '') AS labels, true AS fully_redacted, false AS holds_values FROM documents d
+LEFT JOIN (SELECT doc_id, count(*) AS n, string_agg(DISTINCT entity_type, ',' ORDER BY entity_type) AS labels FROM ({_FOUND}) GROUP BY 1) f ON d.doc_id = f.doc_id""")
+def report_json_withheld(spark, sf_dir):
+    doc = F.from_json("document", "entity_count long, fully_redacted boolean, entity_counts map<string,long>, entities array<struct<text:string>>")
+    rows = results.report_rows(_results(spark, sf_dir)).withColumn("d", doc)
+    labels = F.array_join(F.array_sort(F.map_keys("d.entity_counts")), ",")
+    return rows.select("source", "d.entity_count", labels.alias("labels"), "d.fully_redacted", F.exists("d.entities", lambda e: e["text"].isNotNull()).alias("holds_values"))
+
+
+# -- files: types, names, routing ------------------------------------------------------
+_EXT = [".txt", ".CSV", ".docx", ".xlsm", ".pptx", ".eml", ".pdf", ".JPG", ".mov", ".xyz", ".redacted.txt", "-final.pdf", ""]
+_NAMES_SQL = "SELECT page_id, 'file' || page_id || [{}][cast(page_id % {} AS int) + 1] AS name FROM pages".format(", ".join(f"'{x}'" for x in _EXT), len(_EXT))
+_SUFFIX_SQL = r"regexp_extract(name, '^.+(\.[^.]+)$', 1)"
+_TYPE_SQL = "CASE lower({}) {} END".format(_SUFFIX_SQL, " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ingest.EXTENSIONS.items()))
+
+
+def names(spark, sf_dir) -> DataFrame:
+    ext = F.get(F.array(*map(F.lit, _EXT)), (F.col("page_id") % len(_EXT)).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("file"), F.col("page_id").cast("string"), ext).alias("name"))
+
+
+def typed(spark, sf_dir) -> DataFrame:
+    return names(spark, sf_dir).withColumn("media_type", F.coalesce(ingest.media_type_by_name(F.col("name")), F.lit("unknown")))
+
+
+@query(f"SELECT page_id, name, coalesce({_TYPE_SQL}, 'unknown') AS media_type FROM ({_NAMES_SQL})")
+def media_type_by_extension(spark, sf_dir):
+    return typed(spark, sf_dir)
+
+
+@query("""SELECT page_id, CASE WHEN html IS NULL OR html = '' THEN 'unknown' WHEN page_id % 3 = 0 THEN 'pdf' WHEN page_id % 3 = 1 THEN 'image' ELSE 'text' END AS media_type FROM pages""")
+def media_type_by_magic(spark, sf_dir):
+    head = F.when(F.col("page_id") % 3 == 0, "%PDF-1.7").when(F.col("page_id") % 3 == 1, "GIF89a").otherwise("")
+    content = F.when(F.length("html") > 0, F.concat(head, F.col("html"))).otherwise("").cast("binary")
+    return table(spark, sf_dir, "pages").select("page_id", ingest.sniff(F.coalesce(content, F.lit(bytearray()))).alias("media_type"))
+
+
+@query(f"SELECT page_id, '/out/sub/' || substr(name, 1, length(name) - length({_SUFFIX_SQL})) || '.redacted' || {_SUFFIX_SQL} AS output FROM ({_NAMES_SQL})")
+def output_naming(spark, sf_dir):
+    path = F.concat(F.lit("/in/sub/"), F.col("name"))
+    return names(spark, sf_dir).select("page_id", ingest.output_path(path, F.lit("/in"), "/out").alias("output"))
+
+
+@query(f"SELECT page_id, name FROM ({_NAMES_SQL}) WHERE NOT (contains(name, '.redacted.') OR name LIKE '%.redacted' OR name LIKE '%-final.pdf')")
+def skip_outputs(spark, sf_dir):
+    return names(spark, sf_dir).where(~ingest.is_output(F.col("name")))
+
+
+@query("SELECT page_id, path FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN '.git/HEAD' WHEN 1 THEN 'a/node_modules/x.js' WHEN 2 THEN 'a/.hidden' ELSE 'a/b.txt' END AS path FROM pages) WHERE NOT regexp_matches(path, '(^|/)([.][^/]*|node_modules|__pycache__|venv)/')")
+def skip_tool_dirs(spark, sf_dir):
+    path = F.get(F.array(*map(F.lit, [".git/HEAD", "a/node_modules/x.js", "a/.hidden", "a/b.txt"])), (F.col("page_id") % 4).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", path.alias("path")).where(~ingest.in_skipped_dir(F.col("path")))
+
+
+_UP = {"builtin": True, "presidio": False, "ocr": False, "pymupdf": True, "deface": False, "yolo": False, "philter": False, "redactai": True, "anonymizer": False, "pdf-redact-tools": True}
+_DIM_SQL = "(VALUES " + ", ".join(f"('{n}', {str(_UP[n]).lower()}, {p}, [{', '.join(repr(m) for m in media)}])" for n, media, p, *_ in routing.BACKENDS) + ") b(backend, available, priority, media)"
+
+
+@query(f"""SELECT page_id, n.media_type, d.top.b AS backend, CASE WHEN known IS NULL THEN 'unsupported' WHEN d.top IS NULL THEN 'unavailable' END AS problem FROM (SELECT page_id, coalesce({_TYPE_SQL}, 'unknown') AS media_type FROM ({_NAMES_SQL})) n
+LEFT JOIN (SELECT media_type, count(*) AS known, min({{'p': -priority, 'b': backend}}) FILTER (available) AS top FROM (SELECT backend, available, priority, unnest(media) AS media_type FROM {_DIM_SQL}) GROUP BY 1) d ON n.media_type = d.media_type""")
+def route_backend(spark, sf_dir):
+    rows = routing.route(typed(spark, sf_dir), routing.backends(spark, available=_UP))
+    problem = F.when(F.col("error").startswith("no backend"), "unsupported").when(F.col("error").isNotNull(), "unavailable")
+    return rows.select("page_id", "media_type", "backend", problem.alias("problem"))
+
+
+@query(f"SELECT media_type, backend, cast(row_number() OVER (PARTITION BY media_type ORDER BY NOT available, -priority, backend) AS int) AS place FROM (SELECT backend, available, priority, unnest(media) AS media_type FROM {_DIM_SQL})")
+def candidates_order(spark, sf_dir):
+    kinds = spark.createDataFrame([(m,) for m in ingest.MEDIA_TYPES], "media_type string")
+    return routing.candidates(kinds, routing.backends(spark, available=_UP)).select("media_type", F.col("name").alias("backend"), "place")
+
+
+@query(f"SELECT backend, available, cast(row_number() OVER (ORDER BY NOT available, -priority, backend) AS int) AS place FROM {_DIM_SQL}")
+def describe_backends(spark, sf_dir):
+    place = F.row_number().over(Window.orderBy(~F.col("available"), F.desc("priority"), "name"))
+    return routing.backends(spark, available=_UP).select(F.col("name").alias("backend"), "available", place.alias("place"))
+
+
+# -- verification ----------------------------------------------------------------------
+def _artifacts(spark, sf_dir, redacted: bool) -> DataFrame:
+    """Every 2nd document was redacted, the others went out as they were."""
+    name = F.concat(F.lit("/out/"), F.col("doc_id").cast("string"), F.lit(".redacted.txt" if redacted else ".txt"))
+    text = F.coalesce("text", F.lit(""))
+    if redacted:
+        text = F.when(F.col("doc_id") % 2 == 0, spans.redact(text, "replace", None, 0.35)["text"]).otherwise(text)
+    return documents(spark, sf_dir).select(name.alias("path"), text.alias("text"))
+
+
+_LEAKS = f"SELECT doc_id, entity_type, text, min(\"start\") AS s FROM ({_FOUND}) WHERE doc_id % 2 = 1 GROUP BY 1, 2, 3"
+
+
+@query(f"SELECT '/out/' || doc_id || '.redacted.txt' AS path, 'raw' AS layer, entity_type, text FROM ({_LEAKS})")
+def verify_findings(spark, sf_dir):
+    hits = verify.hits(verify.text_layers(_artifacts(spark, sf_dir, True)))
+    return verify.findings(hits).select("path", "layer", "entity_type", "text")
+
+
+@query(f"SELECT '/out/' || d.doc_id || '.redacted.txt' AS path, coalesce(n, 0) AS finding_count, CASE WHEN n > 0 THEN 'LEAKING' ELSE 'clean' END AS status FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM ({_LEAKS}) GROUP BY 1) l ON d.doc_id = l.doc_id")
+def verify_status(spark, sf_dir):
+    return verify.verify(_artifacts(spark, sf_dir, True)).select("path", "finding_count", "status")
+
+
+@query(f"""SELECT '/out/' || d.doc_id || '.redacted.txt' AS path, coalesce(n, 0) AS finding_count, coalesce(c, 0) AS control_entities, CASE WHEN coalesce(c, 0) = 0 THEN 'INCONCLUSIVE' WHEN n > 0 THEN 'LEAKING' ELSE 'clean' END AS status FROM documents d
+LEFT JOIN (SELECT doc_id, count(*) AS n FROM ({_LEAKS}) GROUP BY 1) l ON d.doc_id = l.doc_id LEFT JOIN (SELECT doc_id, count(*) AS c FROM ({_FOUND}) GROUP BY 1) f ON d.doc_id = f.doc_id""")
+def verify_control_join(spark, sf_dir):
+    return verify.verify(_artifacts(spark, sf_dir, True), _artifacts(spark, sf_dir, False)).select("path", "finding_count", "control_entities", "status")
+
+
+@query(f"""WITH r AS (SELECT d.doc_id, coalesce(n, 0) AS n, coalesce(c, 0) AS c FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM ({_LEAKS}) GROUP BY 1) l ON d.doc_id = l.doc_id LEFT JOIN (SELECT doc_id, count(*) AS c FROM ({_FOUND}) GROUP BY 1) f ON d.doc_id = f.doc_id)
+SELECT count(*) AS artifacts, count(*) FILTER (n > 0) AS leaking, count(*) FILTER (n = 0 AND c = 0) AS inconclusive, count(*) FILTER (n > 0 OR c = 0) = 0 AS all_verified_clean, CASE WHEN count(*) FILTER (n > 0 OR c = 0) = 0 THEN 0 ELSE 1 END AS exit_code FROM r""")
+def verify_summary(spark, sf_dir):
+    return verify.verify_summary(verify.verify(_artifacts(spark, sf_dir, True), _artifacts(spark, sf_dir, False)))
+
+
+@query("""SELECT page_id, u AS url, lower(regexp_extract(u, '^[a-z]+://([^/:?#]+)', 1)) IN ('www.w3.org', 'purl.org') AS structural FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'http://www.w3.org/2001/x' WHEN 1 THEN 'http://w.sun.com/x' WHEN 2 THEN 'http://purl.org/dc' ELSE url END AS u FROM pages)""")
+def structural_url_filter(spark, sf_dir):
+    k = F.col("page_id") % 4
+    url = F.when(k == 0, "http://www.w3.org/2001/x").when(k == 1, "http://w.sun.com/x").when(k == 2, "http://purl.org/dc").otherwise(F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", url.alias("url")).withColumn("structural", spans.is_structural({"entity_type": F.lit("URL"), "text": F.col("url")}))
+
+
+@query(f"SELECT key, 'base64[1]' AS layer, text FROM ({_MADE_SQL})")
+def base64_layer(spark, sf_dir):
+    """Payloads wrapped at 76 characters, as in mail; the header word is run 0."""
+    body = F.regexp_replace(F.regexp_replace(F.base64(F.col("text").cast("binary")), "\\s", ""), "(.{76})", "$1\r\n")
+    layers = verify.text_layers(made(spark, sf_dir).select(F.col("key").alias("path"), F.concat(F.lit("Content: x;\n\n"), body).alias("text")))
+    return layers.where("layer <> 'raw'").select(F.col("path").alias("key"), "layer", "text")
+
+
+@query("""SELECT page_id, regexp_replace(regexp_replace(t, '([A-Za-z])([0-9])', '\\1 \\2', 'g'), '([0-9])([A-Za-z])', '\\1 \\2', 'g') AS restored FROM (SELECT page_id, 'SSN' || page_id || 'id' || url AS t FROM pages)""")
+def boundary_restored_union(spark, sf_dir):
+    text = F.concat(F.lit("SSN"), F.col("page_id").cast("string"), F.lit("id"), F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", spans.boundary_restored(text).alias("restored"))
+
+
+_SHEET_SQL = "SELECT l_orderkey % 50 AS idx, 'Sheet' || (l_linenumber % 3) || '!A' || l_orderkey || '_' || l_linenumber AS cell FROM lineitem"
+
+
+@query(f"SELECT idx, array_to_string(list_slice(c, 1, 6), ', ') || CASE WHEN len(c) > 6 THEN ' (+' || (len(c) - 6) || ' more)' ELSE '' END AS places FROM (SELECT idx, list(cell ORDER BY cell) AS c FROM ({_SHEET_SQL}) GROUP BY 1)")
+def shared_string_locations(spark, sf_dir):
+    """Which cells use a shared string: the first six in order and the number of the
+    rest. Only six per string and task are kept on the way."""
+    cell = F.concat(F.lit("Sheet"), (F.col("l_linenumber") % 3).cast("string"), F.lit("!A"), F.col("l_orderkey").cast("string"), F.lit("_"), F.col("l_linenumber").cast("string"))
+    cells = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 50).alias("idx"), cell.alias("cell"))
+    strings = cells.groupBy("idx").agg(F.count("*").alias("n"))
+    first = cells.withColumn("rn", F.row_number().over(Window.partitionBy("idx").orderBy("cell"))).where("rn <= 6").groupBy("idx").agg(F.array_sort(F.collect_list("cell")).alias("c"))
+    more = F.when(F.col("n") > 6, F.format_string(" (+%d more)", F.col("n") - 6)).otherwise("")
+    return strings.join(first, "idx").select("idx", F.concat(F.array_join("c", ", "), more).alias("places"))
+
+
+# -- vector search ---------------------------------------------------------------------
+def _vectors(spark, sf_dir):
+    index = table(spark, sf_dir, "embeddings")
+    seven = {r["vec_id"]: list(r["embedding"]) for r in index.where(F.col("vec_id") < 7).select("vec_id", "embedding").collect()}  # the query and six backgrounds
+    return index.where(F.col("vec_id") >= 7), seven[0], [seven[i] for i in range(1, 7)]
+
+
+_U = "(SELECT vec_id, label, list_transform(embedding, lambda x: x::double / sqrt(list_sum(list_transform(embedding, lambda y: y::double * y::double)))) AS v FROM embeddings)"
+_RAW = f"SELECT e.vec_id, e.label, list_sum(list_transform(range(1, len(e.v) + 1), lambda i: e.v[i] * q.v[i])) AS score FROM {_U} e, {_U} q WHERE e.vec_id >= 7 AND q.vec_id = 0"
+_CAL = f"""SELECT vec_id, label, exp(100 * (max(d) FILTER (q = 0) - max(d))) / (sum(exp(100 * (d - m)))) AS score FROM (SELECT *, max(d) OVER (PARTITION BY vec_id) AS m FROM (
+ SELECT e.vec_id, e.label, q.vec_id AS q, list_sum(list_transform(range(1, len(e.v) + 1), lambda i: e.v[i] * q.v[i])) AS d FROM {_U} e, {_U} q WHERE e.vec_id >= 7 AND q.vec_id < 7)) GROUP BY vec_id, label"""
+
+
+@query(f"SELECT vec_id, round(score, 6) AS score FROM ({_RAW}) ORDER BY score DESC, vec_id LIMIT 10")
+def semantic_topk_raw(spark, sf_dir):
+    index, q, _ = _vectors(spark, sf_dir)
+    return semantic.search(index, q, top_k=10, threshold=-1.0).select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query(f"SELECT vec_id, round(score, 6) AS score FROM ({_CAL})")
+def semantic_calibrated(spark, sf_dir):
+    index, q, background = _vectors(spark, sf_dir)
+    return semantic.score(index, q, background).select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query(f"SELECT label, arg_min(vec_id, {{'s': -round(score, 9), 'v': vec_id}}) AS vec_id FROM ({_RAW}) GROUP BY label")
+def semantic_per_file(spark, sf_dir):
+    index, q, _ = _vectors(spark, sf_dir)
+    rows = semantic.score(index, q).withColumn("score", F.round("score", 9))
+    return rows.groupBy("label").agg(F.max_by("vec_id", F.struct("score", -F.col("vec_id"))).alias("vec_id"))
+
+
+@query(f"SELECT vec_id, vec_id % 2 = 0 AS visual FROM embeddings WHERE vec_id % 2 = 1 OR vec_id IN (SELECT vec_id FROM ({_RAW}) WHERE score >= 0.1)")
+def semantic_filter_semi(spark, sf_dir):
+    index, q, _ = _vectors(spark, sf_dir)
+    docs = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("path"), F.when(F.col("vec_id") % 2 == 0, "image").otherwise("text").alias("media_type"))
+    hits = semantic.score(index, q).where("score >= 0.1").select(F.col("vec_id").alias("path"))
+    return semantic.filter_documents(docs, hits).select(F.col("path").alias("vec_id"), (F.col("media_type") == "image").alias("visual"))
+
+
+# -- geometry and tracks ---------------------------------------------------------------
+def _boxes(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    box = F.struct((F.col("event_id") % 40).cast("double").alias("x1"), (F.col("event_id") % 23).cast("double").alias("y1"), (F.col("event_id") % 40 + 10).cast("double").alias("x2"), (F.col("event_id") % 23 + 8).cast("double").alias("y2"))
+    return e.select("event_id", (F.col("event_id") % 5).alias("label"), F.floor(F.col("event_id") / 10).alias("frame"), box.alias("b"))
+
+
+_BOXES = "SELECT event_id, event_id % 5 AS label, event_id // 10 AS frame, (event_id % 40)::double AS x1, (event_id % 23)::double AS y1, (event_id % 40 + 10)::double AS x2, (event_id % 23 + 8)::double AS y2 FROM events"
+_PAIRS = f"SELECT a.event_id AS a, b.event_id AS b, greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS inter, sqrt((a.x1 - b.x1) ** 2 + (a.y1 - b.y1) ** 2) AS far FROM ({_BOXES}) a JOIN ({_BOXES}) b ON a.label = b.label AND b.frame = a.frame + 1"
+
+
+def _pairs(spark, sf_dir):
+    a, b = _boxes(spark, sf_dir), _boxes(spark, sf_dir)
+    a = a.select("label", (F.col("frame") + 1).alias("frame"), F.col("event_id").alias("a"), F.col("b").alias("old"))
+    return a.join(b.select("label", "frame", F.col("event_id").alias("b"), F.col("b").alias("new")), ["label", "frame"])
+
+
+@query(f"SELECT a, b, round(CASE WHEN inter > 0 THEN inter / (160 - inter) ELSE 0 END, 6) AS iou FROM ({_PAIRS})")
+def iou_pairs(spark, sf_dir):
+    return _pairs(spark, sf_dir).select("a", "b", F.round(tracker.iou_column(F.col("old"), F.col("new")), 6).alias("iou"))
+
+
+@query(f"SELECT a, b, round(greatest(2 * CASE WHEN inter > 0 THEN inter / (160 - inter) ELSE 0 END, 1 - far / (sqrt(164) * 1.25), 0), 6) AS score FROM ({_PAIRS}) WHERE CASE WHEN inter > 0 THEN inter / (160 - inter) ELSE 0 END >= 0.05 OR far <= sqrt(164) * 1.25")
+def match_score_theta_join(spark, sf_dir):
+    rows = _pairs(spark, sf_dir).withColumn("s", tracker.affinity_column(F.col("old"), F.col("new"), F.lit(0)))
+    return rows.where("s is not null").select("a", "b", F.round("s", 6).alias("score"))
+
+
+def _frames(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("rn", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1)
+    x = (F.col("rn") * 3 + F.col("user_id") % 7).cast("double")
+    det = F.struct(x.alias("x1"), F.lit(0.0).alias("y1"), (x + 12).alias("x2"), F.lit(10.0).alias("y2"), F.lit(0.9).alias("score"), F.lit("FACE").alias("label"))
+    some = F.when(F.pmod(F.col("event_id") * 7919, F.lit(11)) < 7, F.array(det)).otherwise(F.array().cast(f"array<{tracker.DETECTION}>"))
+    return e.select(F.col("user_id").cast("string").alias("video_id"), F.col("rn").cast("int").alias("frame_index"), some.alias("detections"))
+
+
+@query()
+def tracker_masks(spark, sf_dir):
+    rows = tracker.track_batch(_frames(spark, sf_dir))
+    return rows.select("video_id", "frame_index", F.explode("masks").alias("m")).select("video_id", "frame_index", *[F.round(f"m.{c}", 6).alias(c) for c in ("x1", "y1", "x2", "y2", "score")], "m.label")
+
+
+@query("SELECT cast(user_id AS varchar) AS video_id, count(*) FILTER ((event_id * 7919) % 11 < 7) AS raw_detections, count(*) AS frames FROM events GROUP BY 1")
+def tracker_stats(spark, sf_dir):
+    rows = tracker.track_batch(_frames(spark, sf_dir)).groupBy("video_id").agg(F.max("stats").alias("stats"), F.count("*").alias("frames"))
+    return rows.select("video_id", F.get_json_object("stats", "$.raw_detections").cast("long").alias("raw_detections"), "frames")
+
+
+@query()
+def tracker_gaps(spark, sf_dir):
+    rows = tracker.track_batch(_frames(spark, sf_dir)).where("stats is not null")
+    gaps = F.from_json(F.get_json_object("stats", "$.unresolved_gaps"), "array<struct<label:string,first_frame:int,last_frame:int>>")
+    return rows.select("video_id", F.explode(gaps).alias("g")).select("video_id", "g.*")
+
+
+@query("""SELECT doc_id AS key, CASE WHEN doc_id % 5 = 0 OR doc_id % 3 = 0 THEN 'failed' WHEN doc_id % 2 = 0 THEN 'passed_with_warnings' ELSE 'passed' END AS verification_status FROM documents""")
+def video_verification(spark, sf_dir):
+    k = F.col("doc_id")
+    gap = F.struct(F.lit("FACE").alias("label"), F.lit(3).alias("first_frame"), F.lit(5).alias("last_frame"))
+    rows = documents(spark, sf_dir).select(
+        k, (k % 5 != 0).alias("exists"), F.lit(10).alias("size_bytes"), F.lit(30).alias("expected_frames"), F.when(k % 3 == 0, 29).otherwise(30).alias("frames_decoded"),
+        F.lit(None).cast("string").alias("decode_error"), F.when(k % 2 == 0, F.array(gap)).otherwise(F.array().cast("array<struct<label:string,first_frame:int,last_frame:int>>")).alias("unresolved_gaps"),
+    )
+    return verify.video_status(rows).select(k.alias("key"), "verification_status")
+
+
+# -- streams ---------------------------------------------------------------------------
+@query(_REWRITTEN.replace("REPLACEMENT", "'<' || entity_type || '>'"))
+def streaming_redact(spark, sf_dir):
+    """The batch projection over a file stream, to the same rows."""
+    import uuid
+
+    from umbra.streaming import jobs
+
+    name = f"redacted_{uuid.uuid4().hex}"
+    source = documents(spark, sf_dir)
+    stream = spark.readStream.schema(table(spark, sf_dir, "documents").schema).parquet(*_stream_path(spark, sf_dir))
+    out = jobs.redact_stream(stream.select(*source.columns)).select("doc_id", F.col("redacted_text").alias("redacted"))
+    run = out.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.table(name)
+
+
+def _stream_path(spark, sf_dir):
+    """The file source wants a folder or a glob."""
+    return (f"{sf_dir}/documents.parquet*",)
