@@ -228,3 +228,13 @@ def test_peeling_recovers_the_difference(seed):
     mine, theirs = sketch.difference(a, b)
     a, b = ({x & int(sketch.MASK) for x in y.tolist()} for y in (a, b))
     assert set(mine.tolist()) == a - b and set(theirs.tolist()) == b - a and len(mine) + len(theirs) == len(a ^ b)
+
+
+def test_peeling_ends_on_any_cells():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        s = sketch.Sketch(24)
+        s.count = rng.integers(-2, 3, 24)
+        keys = rng.integers(0, 1 << 48, 24, dtype=np.uint64)
+        s.xor = keys | sketch.check(keys) << np.uint64(48)
+        s.peel()

@@ -97,12 +97,17 @@ class Sketch:
 
     def peel(self) -> tuple[np.ndarray, np.ndarray] | None:
         """Digests only in the first and only in the second; None where it is stuck."""
-        mine, theirs = [], []
+        mine, theirs, most = [], [], len(self.count)
         while True:
             pure = np.flatnonzero((self.count == 1) | (self.count == -1))
             pure = pure[self.xor[pure] >> _48 == check(self.xor[pure])]
+            if len(pure):  # a mix of digests that looks like one seldom belongs where it is
+                pure = pure[(self.places(self.xor[pure]).reshape(3, -1) == pure).any(axis=0)]
             if not len(pure):
                 break
+            most -= len(pure)
+            if most < -2 * len(self.count):  # such a mix can put itself back; no sketch holds so many
+                return None
             items, first = np.unique(self.xor[pure], return_index=True)
             signs = self.count[pure[first]]
             self.add(items, -signs)
