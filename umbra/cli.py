@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from umbra.functions import spans
-from umbra.operators import results, routing, semantic, verify
+from umbra.operators import backends, results, routing, semantic, verify
 from umbra.sources import containers, ingest
 
 CONTAINERS = ("docx", "xlsx", "pptx", "email")
@@ -59,20 +59,30 @@ def labels(raw: list[str] | None) -> list[str] | None:
     return found or None
 
 
-def run_files(spark: SparkSession, docs: DataFrame, options: results.Options, available=None) -> DataFrame:
-    """Result rows, with ``content`` (the rewritten bytes), of documents of any kind."""
-    routed = routing.route(docs, routing.backends(spark, available=available), options.backend)
+def run_files(spark: SparkSession, docs: DataFrame, options: results.Options, registry: backends.Registry | None = None) -> DataFrame:
+    """Result rows, with ``content`` (the rewritten bytes), of documents of any kind.
+    Texts take the native projection; packages, mail and what plug-ins support run in
+    Python workers. A registry adds plug-ins; without one only the recognizers work."""
+    registry = registry or backends.Registry([backends.Builtin()])
+    plugins = [b for b in registry.available() if b.name != "builtin"]
+    routed = routing.route(docs, registry.dimension(spark), options.backend)
     routed = routed.withColumn("output", ingest.output_path(F.col("path"), F.col("root"), options.output_dir))
     text = routed.where((F.col("backend") == "builtin") & F.col("media_type").isin("text", "structured")).withColumn("body", ingest.decode(F.col("content")))
     text = results.redact_text(text.drop("content"), "body", options)
     plain = text.select("path", "output", "backend", "media_type", F.lit(True).alias("success"), "entities", "redacted_text", F.array().cast("array<string>").alias("unredacted"), F.lit("dry run" if options.dry_run else "").alias("message"), F.col("redacted_text").cast("binary").alias("content"))
     settings = containers.Settings(options.mode, options.entities, options.threshold, options.mask_char, options.hash_key, options.images, options.attachments)
+    if options.images == "blur":
+        settings.image_redactor = registry.image_redactor(settings)
     boxed = routed.where((F.col("backend") == "builtin") & F.col("media_type").isin(*CONTAINERS))
-    boxed = containers.redact_containers(boxed, settings, options.dry_run).join(boxed.select("path", "output", "backend"), "path")
+    boxed = containers.redact_containers(boxed, settings, options.dry_run).join(boxed.select("path", "output", "backend").distinct(), "path")
     none = F.array().cast(f"array<{spans.ENTITY}>")
-    other = routed.where(F.col("error").isNotNull() | (F.col("backend") != "builtin"))
+    other = routed.where(F.col("error").isNotNull() | ~F.col("backend").isin("builtin", *[b.name for b in plugins]))
     failed = other.select("path", "output", "backend", "media_type", F.lit(False).alias("success"), none.alias("entities"), F.lit(None).cast("string").alias("redacted_text"), F.array().cast("array<string>").alias("unredacted"), F.coalesce("error", F.lit("this backend is a plug-in that is not installed")).alias("message"), F.lit(None).cast("binary").alias("content"))
     out = plain.unionByName(boxed.select(plain.columns)).unionByName(failed)
+    for b in plugins:
+        mine = routed.where(F.col("backend") == b.name)
+        done = backends.run_backend(mine, b, settings, options.dry_run).join(mine.select("path", "output", "backend").distinct(), "path")
+        out = out.unionByName(done.select(plain.columns))
     return out.withColumnRenamed("path", "source")
 
 

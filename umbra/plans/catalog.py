@@ -415,6 +415,28 @@ def shared_string_locations(spark, sf_dir):
     return strings.join(first, "idx").select("idx", F.concat(F.array_join("c", ", "), more).alias("places"))
 
 
+# -- containers and pictures -----------------------------------------------------------
+@query(f"""SELECT doc_id, '<EMAIL_ADDRESS>' || CASE WHEN text = '' THEN '' ELSE chr(10) || regexp_replace(text, '{_P['EMAIL_ADDRESS']}', '<EMAIL_ADDRESS>', 'g') END AS redacted, true AS success FROM ({_D})""")
+def redact_mail_container(spark, sf_dir):
+    """Documents as the bodies of messages, rewritten in the message."""
+    from umbra.sources import containers
+
+    raw = F.concat(F.lit("From: user"), F.col("doc_id").cast("string"), F.lit("@example.com\n\n"), F.coalesce("text", F.lit("")))
+    mails = documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("path"), F.lit("email").alias("media_type"), raw.cast("binary").alias("content"))
+    rows = containers.redact_containers(mails, containers.Settings(entities=("EMAIL_ADDRESS",)))
+    return rows.select(F.col("path").cast("long").alias("doc_id"), F.col("redacted_text").alias("redacted"), "success")
+
+
+@query(f"SELECT key, m[1] AS text FROM (SELECT key, regexp_extract_all(text, '{_P['US_SSN']}') AS m FROM (SELECT key, substr(text, 1, 15) AS text FROM ({_MADE_SQL}))) WHERE len(m) > 0")
+def ocr_text_entities(spark, sf_dir):
+    """Lines that lost the space between a word and a number, as OCR gives them."""
+    from umbra.operators import backends
+
+    line = F.concat(F.substring("text", 1, 3), F.substring("text", 5, 11))
+    lines = made(spark, sf_dir).select(F.col("key").alias("path"), F.lit(0).alias("region"), line.alias("text"), F.lit(0.9).alias("score"), F.lit(None).cast("array<int>").alias("box"))
+    return backends.ocr_entities(lines, ["US_SSN"]).select(F.col("path").alias("key"), "text")
+
+
 # -- vector search ---------------------------------------------------------------------
 def _vectors(spark, sf_dir):
     index = table(spark, sf_dir, "embeddings")
