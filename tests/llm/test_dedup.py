@@ -97,6 +97,18 @@ def test_near_stage_keeps_one_row_of_each_component(docs):
     assert sorted(str(r.doc_id) for r in kept) == sorted({c for *_, c in near_expected(rows)})
 
 
+def test_near_stage_tells_components_apart_without_their_ids(docs):
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(40)) for _ in range(8)]
+    fps = [brute_fingerprint(t) for t in texts]
+    assert all((fps[i] ^ fps[j]).bit_count() > 2 for i in range(8) for j in range(i))
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1].upper()), (9, texts[2]), (9, texts[3]), (None, texts[4]), (4, texts[4].upper()), (9, texts[5]), (9, texts[5]), (None, texts[6]), (None, texts[6]), (12, texts[7])]
+    kept = simhash.stage(docs(rows).sparkSession, docs(rows), "").collect()
+    assert sorted(r.text.lower() for r in kept) == sorted(texts)
+    ids = {r.text.lower(): r.doc_id for r in kept}
+    assert [ids[t] for t in texts] == [None, None, 9, 9, 4, 9, None, 12]
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_bit_sliced_blocks_equal_pairwise_distances(seed):
     rng = random.Random(seed)

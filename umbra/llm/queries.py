@@ -20,7 +20,7 @@ def op1_sketch(spark, sf_dir):
 
 
 def op2_simhash(spark, sf_dir):
-    return simhash.near_groups(documents(spark, sf_dir)).drop("th")
+    return simhash.near_groups(documents(spark, sf_dir)).drop("th", "root")
 
 
 def op3_lang_id(spark, sf_dir):

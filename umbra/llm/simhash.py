@@ -173,7 +173,8 @@ def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """doc_id, fingerprint, component_id and th (a hash of the text) per row."""
+    """doc_id, fingerprint, component_id, th (a hash of the text) and root (the
+    fingerprint that names the component, whatever its ids) per row."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = materialize(rows.mapInArrow(_fingerprints, "doc_id long, fp long, th long"), "simhash")
     distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
@@ -181,15 +182,16 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tree = tree.withColumnRenamed("u", "fp")
     rooted = materialize(distinct.join(tree, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
     least = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
-    named = materialize(rooted.join(least, "root").select("fp", "component_id"), "named")
-    return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "th")
+    named = materialize(rooted.join(least, "root").select("fp", "component_id", "root"), "named")
+    return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "th", "root")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the row with the smallest doc_id stays
-    (of several with that id the one whose text hash is smallest)."""
-    rows = materialize(near_groups(docs), "near")
-    first = materialize(rows.groupBy("component_id").agg(F.min(F.struct("doc_id", "th")).alias("first")), "first")
-    pick = rows.join(first, rows["component_id"].eqNullSafe(first["component_id"]))
-    keys = pick.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th"))).alias("__kept"))
+    """Pipeline stage: of each component the row with the smallest doc_id stays (null
+    last; of several with that id the one whose text hash is smallest, and of repeated
+    rows one). Components go by their root: ids may be null or stand for several texts."""
+    rows = materialize(near_groups(docs).withColumn("nth", F.monotonically_increasing_id()), "near")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "th", "nth")
+    first = materialize(rows.groupBy("root").agg(F.min(order)["nth"].alias("first")), "first")
+    keys = rows.join(first, "root").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), (F.col("nth") == F.col("first")).alias("__kept"))
     return drop_rows(docs, keys, lambda d: d.withColumns({"__id": F.col("doc_id").cast("long"), "__th": F.xxhash64(F.coalesce("text", F.lit("")))}))
