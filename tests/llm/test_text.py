@@ -115,6 +115,30 @@ def test_mixing_stage_writes_what_was_taken(docs):
     assert all(abs(got.get(s, 0) - t) <= 1 for s, t in target.items()) and parts <= len(target)
 
 
+def test_mixing_stage_deals_rows_to_shards_and_shuffles_them(docs):
+    rows = prose(300) + [(900 + i, f"few {i} words", "en", "a") for i in range(40)] + [(None, "d e", "en", "b"), (None, "d e", "en", "b")]
+    df = docs(rows)
+    out = mixing.stage(df.sparkSession, df, "").withColumn("file", F.spark_partition_id()).collect()
+    assert max(map(out.count, out)) > 1 and len({(r.doc_id, r.text) for r in out}) < len(out)
+    apart = [(a.doc_id, a.text) != (b.doc_id, b.text) for a, b in zip(out, out[1:]) if a.file == b.file]
+    assert sum(apart) > 0.97 * len(apart)  # in order of joining all passes of a document are neighbours
+    dealt = mixing.deal(df).withColumn("file", F.spark_partition_id()).collect()
+    assert [(r.doc_id, r.text) for r in dealt] == [(r.doc_id, r.text) for r in out]
+    shards = {}
+    for r in dealt:
+        shards.setdefault(r.file, set()).add(r.shard)
+    assert all(len(x) == 1 for x in shards.values()) and set.union(*shards.values()) == set(range(8))
+    want, got = {}, {}
+    for r in mixing.mix(df).where("taken > 0").collect():
+        for s in r.shards[: r.whole + (r.part > 0)]:
+            want[r.source, s] = want.get((r.source, s), 0) + 1
+    for r in dealt:
+        got[r.source, r.shard] = got.get((r.source, r.shard), 0) + 1
+    assert got == want
+    again = mixing.stage(df.sparkSession, df.repartition(5), "").collect()
+    assert [(r.doc_id, r.text) for r in again] == [(r.doc_id, r.text) for r in out]
+
+
 def brute_cut_cost(length, allowed, window, hard):
     best = {0: 0}
     for j in range(1, length + 1):

@@ -16,7 +16,8 @@ Output shards: all (block, pass) tokens are split over a binary tree; a node sen
 random exact half of its tokens to either side, so that every source's number on a
 side is drawn from the multivariate hypergeometric distribution. A leaf is a shard
 with exact quotas of every source and disjoint blocks; within it rows are ordered by
-a hash.
+a hash of id, text and pass, so that the passes of a document lie apart. The pipeline
+stage writes its rows so, a slice of a shard to a file; op4_mixing gives what is taken.
 
 All choices come from hashes of id, text and a seed, so reruns agree. Null text has
 no words; documents without words take 0. Rows that repeat are equal in every column
@@ -29,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from umbra.llm.common import materialize
+from umbra.llm.common import materialize, partitions
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -124,21 +125,36 @@ def first_words(text: Column, n: Column) -> Column:
     return F.array_join(F.slice(runs, F.lit(1), n.cast("int")), "")
 
 
-def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: each row as often as the mix takes it, and where the last pass
-    ends within a row (one of a source at most) its first words for the rest; n_chars
-    follows. Rows that the mix doesn't take go."""
-    taken = materialize(mix(docs).where("taken > 0").groupBy("doc_id", "th").agg(F.max("size").alias("size"), F.sum("whole").alias("whole"), F.sort_array(F.collect_list("part"), asc=False).alias("parts"), F.count("*").alias("same")), "taken")
+def deal(docs: DataFrame) -> DataFrame:
+    """Rows of ``docs`` as often as the mix takes them, with ``shard``, by shard and
+    within it in the order of a hash. A shard is cut into slices by that hash, one a
+    partition, so that its size is bounded by no task."""
+    last = F.when(F.col("part") > 0, F.array(F.struct(F.col("part").alias("n"), F.element_at("shards", (F.col("whole") + 1).cast("int")).alias("shard"))))
+    every = F.transform(F.slice("shards", F.lit(1), F.col("whole").cast("int")), lambda s: F.struct(F.col("size").alias("n"), s.alias("shard")))
+    copies = F.concat(every, F.coalesce(last, F.array().cast("array<struct<n:bigint,shard:bigint>>")))
+    taken = mix(docs).where("taken > 0").select("doc_id", "th", "size", copies.alias("copies"))
+    taken = materialize(taken.groupBy("doc_id", "th").agg(F.max("size").alias("size"), F.sort_array(F.flatten(F.collect_list("copies"))).alias("copies"), F.count("*").alias("same")), "taken")
     # rows that repeat share one entry: what they take together is given to one of them
     named = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__th": F.xxhash64(F.coalesce("text", F.lit("")))})
     repeats = taken.where("same > 1").select("doc_id", "th")
     if not repeats.isEmpty():
         again = named.join(repeats, named["__id"].eqNullSafe(repeats["doc_id"]) & (named["__th"] == repeats["th"]), "left_semi").dropDuplicates(["__id", "__th"])
         named = named.join(repeats, named["__id"].eqNullSafe(repeats["doc_id"]) & (named["__th"] == repeats["th"]), "left_anti").unionByName(again)
-    t = taken.select(F.col("doc_id").alias("__i"), F.col("th").alias("__t"), F.col("size").alias("__size"), F.col("whole").alias("__whole"), F.col("parts").alias("__parts"))
+    t = taken.select(F.col("doc_id").alias("__i"), F.col("th").alias("__t"), F.col("size").alias("__size"), F.col("copies").alias("__copies"))
     joined = named.join(t, named["__id"].eqNullSafe(t["__i"]) & (named["__th"] == t["__t"]))
-    copies = F.concat(F.array_repeat(F.col("__size"), F.col("__whole").cast("int")), F.filter("__parts", lambda p: p > 0))
-    each = joined.withColumn("__n", F.explode(copies))
+    each = joined.select(*named.columns, "__size", F.posexplode("__copies").alias("__nth", "__copy"))
+    each = each.withColumn("__n", F.col("__copy.n")).withColumn("__shard", F.col("__copy.shard"))
     text = F.when(F.col("__n") < F.col("__size"), first_words(F.col("text"), F.col("__n"))).otherwise(F.col("text"))
     each = each.withColumn("n_chars", F.when(F.col("__n") < F.col("__size"), F.length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return each.withColumn("text", text).select(*docs.columns)
+    each = each.withColumn("text", text).withColumn("__order", F.shiftrightunsigned(_hash(F.lit("order"), "__id", "__th", "__nth"), 1))
+    slices = -(-partitions(docs.sparkSession) // 2**LEVELS)
+    slice_ = F.shiftright(F.shiftright("__order", 31) * slices, 32)  # of equal width, in the order of the hash
+    dealt = each.repartitionById(slices * 2**LEVELS, (F.col("__shard") * slices + slice_).cast("int"))
+    return dealt.sortWithinPartitions("__shard", "__order", "__id", "__th", "__nth").select(*docs.columns, F.col("__shard").alias("shard"))
+
+
+def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: each row as often as the mix takes it, dealt to shards, and where
+    the last pass ends within a row (one of a source at most) its first words for the
+    rest; n_chars follows. Rows that the mix doesn't take go."""
+    return deal(docs).select(*docs.columns)
