@@ -67,6 +67,34 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+ARTICLE = "<h1>Title of it</h1><p>" + "A sentence of the article that goes on for a while. " * 5 + "</p>"
+TEXT = "Title of it\n" + ("A sentence of the article that goes on for a while. " * 5).strip()
+COMMENT = "<p>" + "I read this with great interest and I do not agree. " * 5 + "</p>"
+
+
+@pytest.mark.parametrize("page", [
+    "<div class='content with-sidebar'>{}</div>", "<div class='has-sidebar'>{}</div>", "<div class='no-sidebar'><article>{}</article></div>",
+    "<div class='elementor-widget-container'><article>{}</article></div>", "<div id='search-page'><main>{}</main></div>",
+    "<div class='content sidebar'>{}</div>", "<div class='widget'><div class='banner'><article>{}</article></div></div>",
+])
+@pytest.mark.parametrize("rest", [
+    "", "<div class=sidebar><p>Side words that nobody asked for at all, ever.</p></div>", "<nav><a href=x>Menu</a></nav>",
+    "<section id=comments><article class=comment>" + COMMENT + "</article><div class='comment text'>" + COMMENT + "</div></section>",
+])
+def test_names_of_layout_wrappers_keep_the_article(page, rest):
+    assert html_text.main_text(page.format(ARTICLE + rest)) == TEXT
+
+
+def test_names_of_boilerplate_beside_the_article_still_count():
+    rest = "<div class=sidebar><div class=text>" + COMMENT + "</div></div><div class='related-posts'><article>" + COMMENT + "</article></div>"
+    assert html_text.main_text("<article>" + ARTICLE + "</article>" + rest) == TEXT
+    assert html_text.main_text("<div class=wrapper>" + ARTICLE + "</div>" + rest) == TEXT
+
+
+def test_many_nested_names_keep_the_article():
+    assert html_text.main_text("<div class=widget>" * 20_000 + "<article>" + ARTICLE + "</article>") == TEXT
+
+
 def test_extract_frame(spark):
     got = html_text.extract(spark.createDataFrame([(i, "u", h) for i, (h, _) in enumerate(HTML)] + [(None, None, None), (0, "u", HTML[0][0])], PAGES).withColumn("text", F.lit("x"))).collect()
     assert {(r.text, r.n_chars) for r in got} == {(t, len(t)) for _, t in HTML} and len(got) == len(HTML) + 2

@@ -8,7 +8,11 @@ found by max-flow, separates content from boilerplate. Blocks whose own capacity
 over that of all their ties are settled before, which leaves the cut the same.
 
 Blocks of menus, headers and footers of the page, sidebars, notices, adverts, forms and
-reader comments are boilerplate by rule. Scripts, styles and comments are never text.
+reader comments are boilerplate by rule. Class names and ids alone mark an element as such
+only until it is seen to hold the page's content: it is let off, and the cut decides, if
+it holds a main element, or an article or one of good name whose text is over 4 times
+the content outside such elements. Names like has-sidebar tell of a layout and mark nothing.
+Scripts, styles and comments are never text.
 Character references are decoded, white space in a block (and ``<br>``) becomes one
 space, and blocks are joined by one line feed. Null html is empty, and a page without
 content gives an empty text. Each row is a page of its own; repeated rows, null ids and
@@ -38,37 +42,74 @@ _JUNK_WORDS = set("ad ads adv advert adverts advertisement advertisements advert
 _HEADER_WORDS = {"header", "heading", "head"}
 _GOOD_WORDS = set("article post entry story content main maincontent maintext articlebody text body".split())
 _SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
+_LAYOUT = {"no", "not", "has", "have", "with", "without"}
 JUNK = -1e6
+OUTSIDE = 4
+NESTED = 64  # elements marked by name within each other; deeper ones count as part of the last
 
 
-def _kind(name: str, attrs: str, inside: bool) -> tuple[bool, bool]:
-    """Whether an element is boilerplate by rule, and whether it marks content."""
+def _kind(name: str, attrs: str, inside: bool) -> tuple[bool, bool, bool, bool]:
+    """Whether an element is boilerplate by rule or by its names, whether it marks
+    content, and whether it is the main element."""
+    soft, chief = False, name == "main"
     junk, good = name in _JUNK_TAGS or (name == "header" and not inside), name in ("article", "main")
     if "=" in attrs and name not in ("html", "body"):
         for key, a, b, c in _ATTR.findall(attrs):
             key, value = key.lower(), a or b or c
             if key in ("class", "id"):
-                words = {w.lower() for w in _SPLIT.split(value) if w}
-                if words & _JUNK_WORDS or (words & _HEADER_WORDS and not inside and not words & _GOOD_WORDS):
-                    junk = True
-                elif words & _GOOD_WORDS and name not in _INLINE:
-                    good = True
+                tokens = [[w.lower() for w in _SPLIT.split(t) if w] for t in value.split()]
+                tokens = [set(t) for t in tokens if t and t[0] not in _LAYOUT]
+                words = set().union(*tokens)
+                soft |= bool(words & _JUNK_WORDS or (words & _HEADER_WORDS and not inside and not words & _GOOD_WORDS))
+                good |= name not in _INLINE and any(t & _GOOD_WORDS and not t & _JUNK_WORDS for t in tokens)
             elif key == "role":
                 junk |= value.lower() in _JUNK_ROLES
                 good |= value.lower() in ("main", "article")
+                chief |= value.lower() == "main"
             elif key == "style":
                 junk |= re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I) is not None
             elif key == "aria-hidden":
                 junk |= value.lower() == "true" and name not in _INLINE
     if not junk and re.search(r"(?:^|\s)hidden(?:[\s/=]|$)", attrs, re.I) and "hidden" not in "".join(x[1] + x[2] for x in _ATTR.findall(attrs)):
         junk = True
-    return junk, good
+    return junk, soft, good, chief
 
 
 def blocks(page: str) -> list[tuple]:
     """(text, tag, junk, good, share of link text, parent, grandparent) in page order."""
+    return _let_off(_marked(page))
+
+
+def _let_off(marked: list[tuple]) -> list[tuple]:
+    """Drop the marks by name of elements that hold the page's content, outermost first."""
+    found = [m[0] for m in marked]
+    ends: dict[int, list[int]] = {}  # by element: its blocks
+    for i, (_, hard, softs, _, _) in enumerate(marked):
+        for s in () if hard else softs:
+            ends.setdefault(s, []).append(i)
+    if not ends:
+        return found
+    left = [set(m[2]) for m in marked]
+    fair = [0 if m[1] else len(b[0]) * (cost((*b[:2], False, *b[3:])) > 0) for b, m in zip(found, marked)]
+    clean = sum(n for n, x in zip(fair, left) if not x)
+    for s in sorted(ends):
+        held = [i for i in ends[s] if marked[i][2].index(s) < marked[i][3]]
+        if not held:
+            continue
+        chief = any(marked[i][2].index(s) < marked[i][4] for i in held)
+        if chief or sum(fair[i] for i in held) > OUTSIDE * clean:
+            for i in ends[s]:
+                left[i].discard(s)
+                if not left[i]:
+                    clean += fair[i]
+    return [b if m[1] or x else (*b[:2], False, *b[3:]) for b, m, x in zip(found, marked, left)]
+
+
+def _marked(page: str) -> list[tuple]:
+    """Each block, whether it is boilerplate whatever the names, the elements around it
+    that are so by name, and how many of these hold content marks, and main, around it."""
     out: list[tuple] = []
-    stack: list[tuple] = [("", False, False, 0)]  # name, junk, good, serial
+    stack: list[tuple] = [("", False, False, 0, False, (), 0, 0)]  # name, junk, good, serial, and what _marked gives
     serial, parts, linked, links = 0, [], 0, 0
 
     def flush():
@@ -80,7 +121,8 @@ def blocks(page: str) -> list[tuple]:
                 while i and stack[i][0] in _INLINE:
                     i -= 1
                 own = stack[i]
-                out.append((text, own[0], stack[-1][1], stack[-1][2], min(1.0, linked / len(text)), stack[max(0, i - 1)][3], stack[max(0, i - 2)][3]))
+                block = (text, own[0], stack[-1][1], stack[-1][2], min(1.0, linked / len(text)), stack[max(0, i - 1)][3], stack[max(0, i - 2)][3])
+                out.append((block, *stack[-1][4:]))
             parts, linked = [], 0
 
     def close(i):
@@ -154,11 +196,13 @@ def blocks(page: str) -> list[tuple]:
         if name in _VOID or m[3].endswith("/") and name in ("path", "circle", "rect", "line", "use", "g"):
             continue
         top = stack[-1]
-        junk, good = _kind(name, m[3], top[2]) if m[3] or not inline else (False, False)
+        hard, soft, good, chief = _kind(name, m[3], top[2]) if m[3] or not inline else (False,) * 4
+        junk = hard or soft
         if inline and junk and not top[1]:
             flush()
         serial += 1
-        stack.append((name, top[1] or junk, top[2] or good, serial))
+        softs = (*top[5], serial) if soft and len(top[5]) < NESTED else top[5]
+        stack.append((name, top[1] or junk, top[2] or good, serial, top[4] or hard, softs, len(softs) if good else top[6], len(softs) if chief else top[7]))
         links += name == "a"
     flush()
     return out
