@@ -135,6 +135,24 @@ def test_bit_sliced_blocks_equal_pairwise_distances(seed):
     assert sorted((a % (1 << 64), b % (1 << 64)) for a, b in got) == want
 
 
+@pytest.mark.parametrize("step", [1, 7, 64])
+def test_blocks_keep_links_of_earlier_slices(monkeypatch, step):
+    rng = random.Random(step)
+    for _ in range(20):
+        chain = [rng.getrandbits(64)]
+        for bit in rng.sample(range(64), 60):
+            chain.append(chain[-1] ^ (1 << bit))
+        rng.shuffle(chain)
+        chain = chain + [rng.getrandbits(64) for _ in range(90)]
+        rng.shuffle(chain)
+        bucket, fps = np.zeros(len(chain), int), np.array(chain, np.uint64)
+        want = sorted(simhash.block_links(bucket, fps))
+        assert len(want) == 60
+        with monkeypatch.context() as m:
+            m.setattr(simhash, "_STEP", step)
+            assert sorted(simhash.block_links(bucket, fps)) == want
+
+
 def test_components_of_chains_stars_and_random_edges(spark):
     rng = random.Random(5)
     edges = [(i, i + 1) for i in range(100, 160)] + [(0, i) for i in range(1, 40)] + [(rng.randrange(200, 400), rng.randrange(200, 400)) for _ in range(120)] + [(-5, 7), (9, 9)]

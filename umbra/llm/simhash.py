@@ -124,6 +124,8 @@ def block_links(bucket: np.ndarray, fps: np.ndarray) -> list[tuple[int, int]]:
         left, right = query[part][found[rows]], at[word[part][found[rows]] * 64 + lane]
         near = left < right  # each pair once, and no fingerprint with itself
         left, right = left[near], right[near]
+        held = np.flatnonzero(labels != np.arange(len(labels)))  # links of earlier slices, else lost as a label sinks
+        left, right = np.r_[left, held], np.r_[right, labels[held]]
         while len(left):  # labels sink to the smallest row of a component
             least = np.minimum(labels[left], labels[right])
             before = labels.copy()
