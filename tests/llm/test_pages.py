@@ -95,6 +95,52 @@ def test_many_nested_names_keep_the_article():
     assert html_text.main_text("<div class=widget>" * 20_000 + "<article>" + ARTICLE + "</article>") == TEXT
 
 
+@pytest.mark.parametrize("page", [
+    "<div class='layout has-sidebar'><article>{}</article></div>", "<article class='post category-social'>{}</article>", "<div id=content class=with-footer>{}</div>",
+    "<article class='post-promotion-rules'>{}</article>", "<article><div class='notice-of-race'>{}</div></article>", "<div class='page no-sidebar'><main>{}</main></div>",
+])
+def test_names_that_hold_a_word_of_boilerplate(page):
+    assert html_text.main_text(page.format(ARTICLE)) == TEXT
+    beside = "<article class='post category-social'><p>A short second story, told in a few words only.</p></article>"
+    assert html_text.main_text(page.format(ARTICLE) + beside) == TEXT + "\nA short second story, told in a few words only."
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_generated_pages_give_the_article_alone(seed):
+    rng = random.Random(seed)
+    vocabulary = "river stone walks under the of a lamp seven green over morning told never quiet".split()
+
+    def words(least, most):
+        return " ".join(rng.choices(vocabulary, k=rng.randint(least, most)))
+
+    def junk():
+        return rng.choice([
+            lambda: f"<nav><ul>{''.join(f'<li><a href=/{i}>{words(1, 3)}</a>' for i in range(rng.randint(1, 9)))}</ul></nav>",
+            lambda: f"<{rng.choice(['div', 'section'])} class='{rng.choice(['sidebar', 'side widget-area', 'ad', 'ad-box', 'cookie-notice', 'related-posts', 'newsletter signup'])}'><p>{words(5, 60)}.</p></{rng.choice(['div', 'section'])}>",
+            lambda: f"<aside><div class=text><p>{words(5, 90)}.</p></div></aside>",
+            lambda: f"<form><label>{words(1, 4)}</label><input><p>{words(2, 30)}</p></form>",
+            lambda: f"<script>if (a<b) w('<p>{words(3, 9)}</p>')</script><style>p{{}}</style><!-- <p>{words(3, 9)}</p> -->",
+        ])().replace("</section>", "</div>").replace("<section", "<div")
+
+    paragraphs = [words(1, 80) + "." for _ in range(rng.randint(2, 12))]
+    marks = [rng.choice(["<p>{}</p>", "<p>{}", "<h2>{}</h2>", "<div><span>{}</span></div>", "<blockquote>{}</blockquote>", "<ul><li>{}</ul>"]).format(x.replace(" ", rng.choice([" ", "\n  "]), 3)) for x in paragraphs]
+    body = "".join(m + (junk() if rng.random() < 0.3 else "") for m in marks)
+    start, end = rng.choice([("<article>", "</article>"), ("<main class='page has-sidebar'>", "</main>"), ("<div class='entry-content'>", "</div>"), ("<div class='layout with-sidebar'><article class='post category-social'>", "</article></div>")])
+    comments = "<section id=comments>" + "".join(f"<article class=comment><p>{words(3, 60)}</p></article>" for _ in range(rng.randint(0, 4))) + "</section>"
+    before, after = ("".join(junk() for _ in range(rng.randint(0, 3))) for _ in range(2))
+    page = f"<html><head><title>{words(1, 5)}</title></head><body><header><p>{words(1, 20)}</p></header>{before}{start}{body}{end}{after}{comments}<footer>{words(2, 30)}</footer></body></html>"
+    assert html_text.main_text(page) == "\n".join(paragraphs)
+
+
+@pytest.mark.parametrize("piece", ["<a ", "</x", "<div>", '<a ">" ', "<li><span>", "<p a=\"b' ", "<", "<!--", "<script>", "&amp", "<b><hr></q>", "<div class='ad ad'>"])
+def test_long_pages_take_linear_time(piece):
+    import time
+
+    begun = time.time()
+    html_text.main_text(piece * (4_000_000 // len(piece)))
+    assert time.time() - begun < 30
+
+
 def test_extract_frame(spark):
     got = html_text.extract(spark.createDataFrame([(i, "u", h) for i, (h, _) in enumerate(HTML)] + [(None, None, None), (0, "u", HTML[0][0])], PAGES).withColumn("text", F.lit("x"))).collect()
     assert {(r.text, r.n_chars) for r in got} == {(t, len(t)) for _, t in HTML} and len(got) == len(HTML) + 2

@@ -11,7 +11,10 @@ Blocks of menus, headers and footers of the page, sidebars, notices, adverts, fo
 reader comments are boilerplate by rule. Class names and ids alone mark an element as such
 only until it is seen to hold the page's content: it is let off, and the cut decides, if
 it holds a main element, or an article or one of good name whose text is over 4 times
-the content outside such elements. Names like has-sidebar tell of a layout and mark nothing.
+the content outside such elements. Names like has-sidebar tell of a layout and mark nothing;
+within an article a name marks only if it says nothing else (ad-box does, notice-of-race
+does not); article and main themselves are marked by names of reader comments alone.
+Pages are read in linear time, whatever their tags.
 Scripts, styles and comments are never text.
 Character references are decoded, white space in a block (and ``<br>``) becomes one
 space, and blocks are joined by one line feed. Null html is empty, and a page without
@@ -29,8 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*)>""", re.S)
-_ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_COMMENT_END = re.compile(r"--!?>")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_PLAIN = re.compile(r"""[^>"']*""")
+_ATTR = re.compile(r"""(?<![a-zA-Z-])([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _RAW = {"script", "style", "textarea", "title", "iframe", "noembed", "noframes", "xmp", "template"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "img", "wbr", "br"}
@@ -39,6 +44,8 @@ _WALLS = {"ul", "ol", "dl", "table", "div", "article", "section", "main", "body"
 _JUNK_TAGS = {"nav", "footer", "aside", "form", "button", "select", "dialog", "menu", "head", "svg", "noscript", "object", "canvas", "audio", "video", "search"}
 _JUNK_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "form"}
 _JUNK_WORDS = set("ad ads adv advert adverts advertisement advertisements advertising adsense adslot adbox sponsor sponsored promo promos promotion banner cookie cookies consent gdpr notice notices notification alert newsletter subscribe subscription signup popup modal overlay menu menus nav navbar navigation topnav subnav breadcrumb breadcrumbs sidebar sidebars aside rail footer footers masthead topbar toolbar comment comments commentlist respond disqus reply replies discussion share sharing social related recommended recommendations teaser teasers widget widgets pagination pager login search copyright disclaimer skip feedback".split())
+_COMMENT_WORDS = {"comment", "comments", "commentlist", "respond", "disqus", "reply", "replies"}
+_FILLERS = set("box block wrap wrapper container inner outer area section list item items group holder panel bar link links post posts page site top bottom left right small large main first last the a form field title text button buttons thread author meta body content js wp".split())
 _HEADER_WORDS = {"header", "heading", "head"}
 _GOOD_WORDS = set("article post entry story content main maincontent maintext articlebody text body".split())
 _SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
@@ -60,7 +67,12 @@ def _kind(name: str, attrs: str, inside: bool) -> tuple[bool, bool, bool, bool]:
                 tokens = [[w.lower() for w in _SPLIT.split(t) if w] for t in value.split()]
                 tokens = [set(t) for t in tokens if t and t[0] not in _LAYOUT]
                 words = set().union(*tokens)
-                soft |= bool(words & _JUNK_WORDS or (words & _HEADER_WORDS and not inside and not words & _GOOD_WORDS))
+                if name in ("article", "main"):
+                    soft |= bool(words & _COMMENT_WORDS)
+                elif inside:  # in an article a name must speak of nothing else
+                    soft |= any(t & _JUNK_WORDS and t <= _JUNK_WORDS | _FILLERS for t in tokens)
+                else:
+                    soft |= bool(words & _JUNK_WORDS or (words & _HEADER_WORDS and not words & _GOOD_WORDS))
                 good |= name not in _INLINE and any(t & _GOOD_WORDS and not t & _JUNK_WORDS for t in tokens)
             elif key == "role":
                 junk |= value.lower() in _JUNK_ROLES
@@ -105,105 +117,169 @@ def _let_off(marked: list[tuple]) -> list[tuple]:
     return [b if m[1] or x else (*b[:2], False, *b[3:]) for b, m, x in zip(found, marked, left)]
 
 
+def tokens(page: str):
+    """Text and markup in page order, in time linear in the page: ("text", text),
+    ("open", name, attributes, end) and ("close", name); what is raw is left to the
+    caller, who sends the place to go on from.
+
+    A tag ends at the first ``>`` outside quotes. Where none is left, quotes protect
+    nothing in the rest of the page; a tag without any ``>`` takes the rest."""
+    at, n, quotes = 0, len(page), True
+    while at < n:
+        begun = at
+        while True:
+            at = page.find("<", at)
+            if at < 0 or page[at + 1 : at + 2] in ("!", "?") or _NAME.match(page, at + 1) or (page[at + 1 : at + 2] == "/" and _NAME.match(page, at + 2)):
+                break
+            at += 1
+        if at < 0:
+            yield "text", page[begun:]
+            return
+        if at > begun:
+            yield "text", page[begun:at]
+        if page.startswith("<!--", at):
+            if page.startswith((">", "->"), at + 4):
+                at = page.index(">", at + 4) + 1
+            else:
+                m = _COMMENT_END.search(page, at + 4)
+                at = m.end() if m else n
+            continue
+        if page.startswith("<![CDATA[", at):
+            end = page.find("]]>", at)
+            yield "text", page[at + 9 :] if end < 0 else page[at + 9 : end]
+            at = n if end < 0 else end + 3
+            continue
+        if page[at + 1] in "!?":
+            end = page.find(">", at)
+            at = n if end < 0 else end + 1
+            continue
+        closing = page[at + 1] == "/"
+        m = _NAME.match(page, at + 1 + closing)
+        end = m.end()
+        while quotes:
+            end = _PLAIN.match(page, end).end()
+            if end == n:
+                quotes = False
+            elif page[end] == ">":
+                break
+            else:
+                end = page.find(page[end], end + 1) + 1
+                quotes = end > 0
+        if not quotes:
+            end = page.find(">", m.end())
+            if end < 0:
+                return
+        if closing:
+            at = end + 1
+            yield "close", m[0].lower()
+        else:
+            at = yield "open", m[0].lower(), page[m.end() : end], end + 1
+
+
+class _Open:
+    """Open elements, with what closing and blocks ask for at no cost of depth."""
+
+    def __init__(self):
+        self.stack: list[tuple] = [("", False, False, 0, False, (), 0, 0)]  # name, junk, good, serial, and what _marked gives
+        self.walls = [0]  # places of elements that are not inline
+        self.at: dict[str, list[int]] = {}  # by name: places
+        self.links = 0
+
+    def push(self, element: tuple):
+        name = element[0]
+        if name not in _INLINE:
+            self.walls.append(len(self.stack))
+        self.at.setdefault(name, []).append(len(self.stack))
+        self.links += name == "a"
+        self.stack.append(element)
+
+    def close(self, i: int):
+        while len(self.stack) > i:
+            name = self.stack.pop()[0]
+            self.at[name].pop()
+            self.links -= name == "a"
+        while self.walls[-1] >= i:
+            self.walls.pop()
+
+    def last(self, names) -> int:
+        """Place of the innermost open element of these names, or 0."""
+        return max((self.at[x][-1] for x in names if self.at.get(x)), default=0)
+
+
 def _marked(page: str) -> list[tuple]:
     """Each block, whether it is boilerplate whatever the names, the elements around it
     that are so by name, and how many of these hold content marks, and main, around it."""
     out: list[tuple] = []
-    stack: list[tuple] = [("", False, False, 0, False, (), 0, 0)]  # name, junk, good, serial, and what _marked gives
-    serial, parts, linked, links = 0, [], 0, 0
+    opened = _Open()
+    stack = opened.stack
+    serial, parts, linked = 0, [], 0
 
     def flush():
         nonlocal parts, linked
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                i = len(stack) - 1
-                while i and stack[i][0] in _INLINE:
-                    i -= 1
-                own = stack[i]
-                block = (text, own[0], stack[-1][1], stack[-1][2], min(1.0, linked / len(text)), stack[max(0, i - 1)][3], stack[max(0, i - 2)][3])
+                i = opened.walls[-1]
+                block = (text, stack[i][0], stack[-1][1], stack[-1][2], min(1.0, linked / len(text)), stack[max(0, i - 1)][3], stack[max(0, i - 2)][3])
                 out.append((block, *stack[-1][4:]))
             parts, linked = [], 0
 
-    def close(i):
-        nonlocal links
-        links -= sum(x[0] == "a" for x in stack[i:])
-        del stack[i:]
-
-    at, n = 0, len(page)
-    low = None
-    while at < n:
-        m = _TOKEN.search(page, at)
-        text = page[at : m.start()] if m else page[at:]
-        if text:
-            text = html.unescape(text) if "&" in text else text
+    low, go_on = None, None
+    scan = tokens(page)
+    while True:
+        try:
+            token = scan.send(go_on)
+        except StopIteration:
+            break
+        go_on = None
+        if token[0] == "text":
+            text = html.unescape(token[1]) if "&" in token[1] else token[1]
             parts.append(text)
-            if links:
+            if opened.links:
                 linked += len(text)
-        if not m:
-            break
-        at = m.end()
-        name = m[2]
-        if name is None:
-            if m[0].startswith("<![CDATA["):
-                parts.append(m[0][9:].removesuffix("]]>"))
             continue
-        name = name.lower()
+        name = token[1]
         inline = name in _INLINE
-        if m[1]:
-            if name == "br":
-                parts.append(" ")
-                continue
-            i = len(stack) - 1
-            while i and stack[i][0] != name:
-                i -= 1
-            if i and not (inline and any(x[0] not in _INLINE for x in stack[i:])):
-                if not inline:
-                    flush()
-                elif stack[i][1] != stack[i - 1][1]:
+        if name == "br":
+            parts.append(" ")
+            go_on = None if token[0] == "close" else token[3]
+            continue
+        if token[0] == "close":
+            i = opened.last((name,))
+            if i and not (inline and opened.walls[-1] > i):
+                if not inline or stack[i][1] != stack[i - 1][1]:
                     flush()
-                close(i)
+                opened.close(i)
             elif not inline:
                 flush()
             continue
-        if name == "br":
-            parts.append(" ")
-            continue
+        attrs, go_on = token[2], token[3]
         if not inline:
             flush()
             # what an opening tag closes
-            if name not in _VOID or name == "hr":
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == "p":
-                        close(i)
-                        break
-                    if stack[i][0] not in _INLINE:
-                        break
+            if (name not in _VOID or name == "hr") and stack[opened.walls[-1]][0] == "p":
+                opened.close(opened.walls[-1])
             if name in _CLOSES:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] in _CLOSES[name]:
-                        close(i)
-                        break
-                    if stack[i][0] in _WALLS:
-                        break
+                i = opened.last(_CLOSES[name])
+                if i > opened.last(_WALLS):
+                    opened.close(i)
         if name in _RAW:
             low = page.lower() if low is None else low
-            if len(low) != n:  # a letter whose lower case is longer
+            if len(low) != len(page):  # a letter whose lower case is longer
                 low = re.sub("[A-Z]+", lambda x: x[0].lower(), page)
-            end = low.find("</" + name, at)
-            at = n if end < 0 else end
+            end = low.find("</" + name, go_on)
+            go_on = len(page) if end < 0 else end
             continue
-        if name in _VOID or m[3].endswith("/") and name in ("path", "circle", "rect", "line", "use", "g"):
+        if name in _VOID or attrs.endswith("/") and name in ("path", "circle", "rect", "line", "use", "g"):
             continue
         top = stack[-1]
-        hard, soft, good, chief = _kind(name, m[3], top[2]) if m[3] or not inline else (False,) * 4
+        hard, soft, good, chief = _kind(name, attrs, top[2]) if attrs or not inline else (False,) * 4
         junk = hard or soft
         if inline and junk and not top[1]:
             flush()
         serial += 1
         softs = (*top[5], serial) if soft and len(top[5]) < NESTED else top[5]
-        stack.append((name, top[1] or junk, top[2] or good, serial, top[4] or hard, softs, len(softs) if good else top[6], len(softs) if chief else top[7]))
-        links += name == "a"
+        opened.push((name, top[1] or junk, top[2] or good, serial, top[4] or hard, softs, len(softs) if good else top[6], len(softs) if chief else top[7]))
     flush()
     return out
 
