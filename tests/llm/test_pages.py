@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from umbra.llm import html_text, licenses, secret_scan, warc
+from umbra.llm.common import join_facts
 
 PAGES = "page_id long, url string, html string"
 BIG = "<p>" + "same words again and again " * 60 + "</p>"
@@ -39,6 +40,35 @@ def test_warc_round_trip(spark, rows):
         assert head["WARC-Record-ID"] == f"<urn:uuid:{r.record_id}>"
 
 
+def test_every_record_has_its_own_id_and_every_bundle_its_file(tmp_path, spark):
+    same = spark.createDataFrame([(9, "u", "x" * 1200)] * 4 + [(3, "v", "x" * 1200)] * 2, PAGES).repartition(2)
+    bundles = warc.write_bundles(same)
+    index = warc.index(bundles).collect()
+    assert len(index) == 6 and len({r.record_id for r in index}) == 6
+    data = {r.bundle: bytes(r.data) for r in bundles.collect()}
+    assert warc.export(bundles, str(tmp_path)) == len(data) == len(list(tmp_path.iterdir()))
+    heads = {r.record_id: warc.read_record(data[r.bundle], r.frame, r.offset, r.length)[0] for r in index}
+    revisits = [h for h in heads.values() if h["WARC-Type"] == "revisit"]
+    assert len(revisits) == 2
+    for h in revisits:
+        response = heads[h["WARC-Refers-To"].removeprefix("<urn:uuid:").removesuffix(">")]
+        assert response["WARC-Type"] == "response" and response["X-Page-ID"] == h["X-Refers-To-Page-ID"] and response["WARC-Payload-Digest"] == h["WARC-Payload-Digest"]
+    for name, raw in data.items():
+        _, head, _ = next(warc.parse_records(warc.read_frame(raw, 0)))
+        assert head["WARC-Type"] == "warcinfo" and head["WARC-Filename"] == f"{name}.warc.zst"
+
+
+def test_facts_of_large_and_small_keys_join_alike(spark):
+    rows = spark.createDataFrame([("hot",)] * 3000 + [(str(i),) for i in range(500)] + [(None,)], "k string")
+    facts = rows.where("k < '3' or k = 'hot'").groupBy("k").agg(F.count("*").alias("n"), F.lit(7).alias("seven"))
+    for limit in ("-1", "10485760"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        got = [tuple(r) for r in join_facts(rows, facts, "k", "n").collect()]
+        want = [tuple(r) for r in rows.join(facts, "k", "left").collect()]
+        assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) == 3501
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_bundle_decompresses_as_one_stream(tmp_path, spark):
     import io
 
@@ -49,7 +79,7 @@ def test_bundle_decompresses_as_one_stream(tmp_path, spark):
     data = next((tmp_path / "w").iterdir()).read_bytes()
     assert len(warc.seek_table(data)) > 2
     whole = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data), read_across_frames=True).read()
-    assert [h["X-Page-ID"] for _, h, _ in warc.parse_records(whole)] == [str(i) for i in range(60)]
+    assert [h["X-Page-ID"] for _, h, _ in warc.parse_records(whole) if h["WARC-Type"] != "warcinfo"] == [str(i) for i in range(60)]
 
 
 HTML = [

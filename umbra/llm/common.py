@@ -32,15 +32,54 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     It cuts the lineage so that a lost executor costs one stage at most, computes
     once what several branches need, and gives the planner the true size, so that
     a join broadcasts this side only below ``autoBroadcastJoinThreshold`` and
-    shuffles otherwise. The files go when the driver's JVM ends.
+    shuffles otherwise. The files go at ``release``, or when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/umbra-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+    fs, hadoop = _place(spark, path)
+    fs.deleteOnExit(hadoop)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._umbra_path = path
+    return table
+
+
+def _place(spark, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete tables of ``materialize`` that nothing reads any more."""
+    for table in tables:
+        if table is not None and getattr(table, "_umbra_path", None):
+            fs, hadoop = _place(table.sparkSession, table._umbra_path)
+            fs.delete(hadoop, True)
+            table._umbra_path = None
+
+
+HEAVY = 1024
+
+
+def join_facts(rows: DataFrame, facts: DataFrame, key: str, size: str) -> DataFrame:
+    """``rows`` left-joined to ``facts``, one row per key with the number of rows that
+    have it in the column ``size``.
+
+    Keys with a 1024th of all counted rows or more, 1024 at most, are broadcast. If the
+    others are too many for that and their join shuffles, it deals the rows of the first
+    evenly, so no task gets the rows of a large key.
+    """
+    total = facts.agg(F.sum(size)).first()[0] or 0
+    if not total:
+        return rows.join(facts, key, "left")
+    heavy = facts.where(F.col(size) * HEAVY >= total)
+    light = facts.where(F.col(size) * HEAVY < total)
+    names = [c for c in facts.columns if c != key]
+    first = rows.join(F.broadcast(heavy), key, "left").withColumnsRenamed({c: f"{c}__heavy" for c in names})
+    salt = F.when(F.col(f"{size}__heavy").isNotNull(), 1 + F.pmod(F.monotonically_increasing_id(), F.lit(1_000_003))).otherwise(0)
+    light = light.withColumnsRenamed({key: "__key"}).withColumn("__salt", F.lit(0).cast("long"))
+    both = first.withColumn("__own", salt.cast("long")).join(light, (F.col("__own") == F.col("__salt")) & (F.col(key) == F.col("__key")), "left")
+    return both.select(*rows.columns, *[F.coalesce(f"{c}__heavy", c).alias(c) for c in names])
 
 
 def partitions(spark: SparkSession) -> int:

@@ -12,6 +12,13 @@ is the response and the others revisit it (rows that repeat with that page_id ar
 responses). Null html is an empty payload; null ids are kept and never referred to
 unless all ids of a payload are null. An empty table gives no bundle and no row. Other
 columns are not read.
+
+A record id is made of the row's place in the input, its page_id and digest, so rows that
+repeat have ids of their own, a revisit can name its response's record wherever that is
+written (WARC-Refers-To), and reruns agree as long as the files are split alike. Each
+bundle begins with a warcinfo record, which the index leaves out; its name is a hash of
+its record ids, so no two bundles share one. Where the groups of equal payloads outgrow a
+broadcast, those that hold a 1024th of all rows still are one (1024 at most).
 """
 
 from __future__ import annotations
@@ -25,18 +32,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from umbra.llm.common import materialize
+from umbra.llm.common import join_facts, materialize
 
 LEAST = 1000
 FRAME_BYTES = 1 << 18
 BUNDLE_BYTES = 8 << 20
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
+_NONE = uuid.UUID(int=0)
 _BUNDLE = "bundle string, data binary, records array<struct<record_id string, frame int, offset int, length int>>"
 _READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary"
 _CRLF = b"\r\n"
 
 
-def record_bytes(record_id: str, page_id, url, kind: str, digest: str, size: int, payload: bytes, refers_to) -> bytes:
+def record_id(row_key: int, page_id, digest: str) -> str:
+    return str(uuid.uuid5(_NONE, f"{row_key} {page_id} {digest}"))
+
+
+def info_bytes(bundle: str) -> bytes:
+    """The warcinfo record that a bundle begins with."""
+    body = b"software: umbra\r\nformat: WARC File Format 1.1\r\n"
+    lines = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(_NONE, bundle)}>", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Filename: {bundle}.warc.zst", "Content-Type: application/warc-fields", f"Content-Length: {len(body)}"]
+    return _CRLF.join(x.encode() for x in lines) + _CRLF * 2 + body + _CRLF * 2
+
+
+def record_bytes(record_id: str, page_id, url, kind: str, digest: str, size: int, payload: bytes, refers_to, refers_to_record=None) -> bytes:
     """One WARC/1.1 record; a revisit has no payload but its digest and size."""
     lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{record_id}>", "WARC-Date: 1970-01-01T00:00:00Z"]
     if url is not None:
@@ -46,6 +65,8 @@ def record_bytes(record_id: str, page_id, url, kind: str, digest: str, size: int
     lines += [f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {size}"]
     if kind == "revisit":
         lines.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
+        if refers_to_record is not None:
+            lines.append(f"WARC-Refers-To: <urn:uuid:{refers_to_record}>")
         if refers_to is not None:
             lines.append(f"X-Refers-To-Page-ID: {refers_to}")
         body = b""
@@ -78,7 +99,7 @@ class BundleWriter:
         self.open, self.open_size, self.size = [], 0, 0
 
     def add(self, record_id: str, record: bytes):
-        self.records.append((record_id, len(self.frames), self.open_size, len(record)))
+        self.records.append((record_id, len(self.frames) + 1, self.open_size, len(record)))  # frame 0 is the warcinfo record's
         self.open.append(record)
         self.open_size += len(record)
         self.size += len(record)
@@ -92,11 +113,18 @@ class BundleWriter:
             self.table.append((len(packed), self.open_size))
             self.open, self.open_size = [], 0
 
+    def name(self) -> str:
+        return hashlib.sha1("".join(x[0] for x in self.records).encode()).hexdigest()
+
     def finish(self) -> bytes:
+        """The bundle, behind a frame of its own for the warcinfo record."""
         self._frame()
-        entries = b"".join(struct.pack("<II", *x) for x in self.table)
-        footer = struct.pack("<IBI", len(self.table), 0, SEEKABLE)
-        return b"".join(self.frames) + struct.pack("<II", SKIPPABLE, len(entries) + len(footer)) + entries + footer
+        info = info_bytes(self.name())
+        packed = self.compressor.compress(info)
+        table = [(len(packed), len(info)), *self.table]
+        entries = b"".join(struct.pack("<II", *x) for x in table)
+        footer = struct.pack("<IBI", len(table), 0, SEEKABLE)
+        return packed + b"".join(self.frames) + struct.pack("<II", SKIPPABLE, len(entries) + len(footer)) + entries + footer
 
 
 def seek_table(data: bytes) -> list[tuple[int, int, int]]:
@@ -124,23 +152,19 @@ def read_record(data: bytes, frame: int, offset: int, length: int) -> tuple[dict
 
 
 def _write(batches):
-    writer, ids = BundleWriter(), hashlib.sha1()
+    writer = BundleWriter()
 
     def out():
         data = writer.finish()
         entries = [dict(zip(("record_id", "frame", "offset", "length"), x)) for x in writer.records]
-        name = ids.hexdigest()
         kinds = pa.list_(pa.struct([("record_id", pa.string()), ("frame", pa.int32()), ("offset", pa.int32()), ("length", pa.int32())]))
-        return pa.record_batch([pa.array([name]), pa.array([data], pa.binary()), pa.array([entries], kinds)], names=["bundle", "data", "records"])
+        return pa.record_batch([pa.array([writer.name()]), pa.array([data], pa.binary()), pa.array([entries], kinds)], names=["bundle", "data", "records"])
 
-    nth = 0
     for b in batches:
-        for page_id, url, html, digest, size, kind, refers in zip(*(b.column(i).to_pylist() for i in range(7))):
-            # the same name whenever the task runs again
-            record_id = str(uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id} {digest} {nth} {url}"))
-            ids.update(record_id.encode())
-            writer.add(record_id, record_bytes(record_id, page_id, url, kind, digest, size, (html or "").encode(), refers))
-            nth += 1
+        for row_key, page_id, url, html, digest, size, kind, refers, refers_key in zip(*(b.column(i).to_pylist() for i in range(9))):
+            own = record_id(row_key, page_id, digest)
+            other = record_id(refers_key, refers, digest) if kind == "revisit" else None
+            writer.add(own, record_bytes(own, page_id, url, kind, digest, size, (html or "").encode(), refers, other))
             if writer.size >= BUNDLE_BYTES:
                 yield out()
                 writer = BundleWriter()
@@ -156,23 +180,25 @@ def _read(batches):
             for frame in range(len(seek_table(data))):
                 rows = []
                 for _, head, body in parse_records(read_frame(data, frame)):
+                    if head["WARC-Type"] == "warcinfo":
+                        continue
                     digest, size, kind = head["WARC-Payload-Digest"].removeprefix("sha1:"), int(head["X-Payload-Length"]), head["WARC-Type"]
                     if kind == "response" and (len(body) != size or hashlib.sha1(body).hexdigest() != digest):
                         raise ValueError("a payload differs from its digest")
                     rows.append((whole(head.get("X-Page-ID")), size, digest, kind, whole(head.get("X-Refers-To-Page-ID")), head.get("WARC-Target-URI"), body))
-                yield pa.record_batch([pa.array(list(x), t) for x, t in zip(zip(*rows), types)], names=[x.split()[0] for x in _READ.split(", ")])
+                yield pa.record_batch([pa.array(list(x), t) for x, t in zip(zip(*rows) if rows else [[]] * 7, types)], names=[x.split()[0] for x in _READ.split(", ")])
 
 
 def write_bundles(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """Bundles of all ``pages(page_id, url, html)`` as a table in the shared folder."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
+    rows = pages.select(F.monotonically_increasing_id().alias("row_key"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumns({"digest": F.sha1(F.col("html").cast("binary")), "size": F.octet_length("html").cast("long")})
     # groups are known before html moves, so that few of them need no shuffle of it
-    groups = rows.where(F.col("size") >= least).groupBy("digest").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).where("n > 1").drop("n")
-    groups = materialize(groups, "payloads").withColumn("grouped", F.lit(True))
-    typed = rows.join(groups, "digest", "left")
-    revisit = F.col("grouped").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top"))
-    typed = typed.select("page_id", "url", "html", "digest", "size", F.when(revisit, "revisit").otherwise("response").alias("kind"), F.when(revisit, F.col("top")).alias("refers_to"))
+    large = rows.where(F.col("size") >= least).groupBy("digest").agg(F.max(F.struct("page_id", "row_key")).alias("top"), F.count("*").alias("n"))
+    groups = materialize(large.where("n > 1").select("digest", F.col("top.page_id").alias("top"), F.col("top.row_key").alias("top_key"), "n"), "payloads")
+    typed = join_facts(rows, groups, "digest", "n")
+    revisit = F.col("n").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top"))
+    typed = typed.select("row_key", "page_id", "url", "html", "digest", "size", F.when(revisit, "revisit").otherwise("response").alias("kind"), F.when(revisit, F.col("top")).alias("refers_to"), F.when(revisit, F.col("top_key")).alias("refers_key"))
     return materialize(typed.mapInArrow(_write, _BUNDLE), "bundles")
 
 
