@@ -227,13 +227,34 @@ def test_secrets(spark):
     assert secret_scan.scan(docs.limit(0))[0].count() == 0
 
 
-def test_ledger_scans_a_blob_once(spark):
+def test_ledger_scans_a_blob_once(spark, tmp_path):
+    folder = f"file://{tmp_path}/ledger"
     first = spark.createDataFrame([(1, SECRETS[2]), (2, "clean")], "doc_id long, text string")
-    _, ledger = secret_scan.scan(first)
-    assert ledger.count() == 2
-    second = spark.createDataFrame([(1, SECRETS[2]), (3, SECRETS[5]), (4, "clean")], "doc_id long, text string")
-    rows, grown = secret_scan.scan(second, ledger)
-    assert grown.count() == 3
-    assert {r.doc_id: r.spans for r in secret_scan.report(rows).collect()} == {1: secrets_expected(SECRETS[2])[4], 3: secrets_expected(SECRETS[5])[4], 4: ""}
-    old = ledger.withColumn("rules", F.lit("older"))
-    assert secret_scan.scan(second, old)[1].count() == 5
+    _, ledger = secret_scan.scan(first, secret_scan.Ledger(spark, folder))
+    assert ledger.rows().count() == 2
+    second = spark.createDataFrame([(1, SECRETS[2]), (3, SECRETS[5]), (4, "clean"), (5, "clean")], "doc_id long, text string")
+    rows, again = secret_scan.scan(second, secret_scan.Ledger(spark, folder))
+    assert again.rows().count() == 3
+    assert {r.doc_id: r.spans for r in secret_scan.report(rows).collect()} == {1: secrets_expected(SECRETS[2])[4], 3: secrets_expected(SECRETS[5])[4], 4: "", 5: ""}
+
+
+def test_ledger_is_what_a_later_run_reads(spark, tmp_path):
+    planted = spark.createDataFrame([(hashlib.sha256(SECRETS[2].encode()).hexdigest(), secret_scan.RULES, [(1, 2, 3)])], secret_scan.Ledger.SCHEMA)
+    ledger = secret_scan.Ledger(spark, f"file://{tmp_path}/ledger")
+    ledger.add(planted)
+    rows, _ = secret_scan.scan(spark.createDataFrame([(1, SECRETS[2])], "doc_id long, text string"), ledger)
+    assert secret_scan.report(rows).first().spans == "hex:1:3"
+    assert ledger.rows().count() == 1
+    old = secret_scan.Ledger(spark, f"file://{tmp_path}/old")
+    old.add(planted.withColumn("rules", F.lit("older")))
+    rows, _ = secret_scan.scan(spark.createDataFrame([(1, SECRETS[2])], "doc_id long, text string"), old)
+    assert secret_scan.report(rows).first().spans == secrets_expected(SECRETS[2])[4] and old.rows().count() == 2
+
+
+def test_many_secrets_in_one_text(spark):
+    import time
+
+    text = "password: hunter22 " * 52_000
+    begun = time.time()
+    got = secret_scan.report(secret_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"))[0]).first()
+    assert got.n_assign == 52_000 and got.spans == secrets_expected(text)[4] and time.time() - begun < 30

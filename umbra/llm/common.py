@@ -37,8 +37,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/umbra-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    fs, hadoop = _place(spark, path)
-    fs.deleteOnExit(hadoop)
+    delete_on_exit(spark, path)
     table = spark.read.schema(df.schema).parquet(path)
     table._umbra_path = path
     return table
@@ -49,6 +48,11 @@ def _place(spark, path: str):
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
 
 
+def delete_on_exit(spark, path: str) -> None:
+    fs, hadoop = _place(spark, path)
+    fs.deleteOnExit(hadoop)
+
+
 def release(*tables: DataFrame | None) -> None:
     """Delete tables of ``materialize`` that nothing reads any more."""
     for table in tables:

@@ -65,16 +65,22 @@ def pipeline(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (op1_sketch, op2_simhash, op3_lang_id, op4_mixing, op5_exact_dedup, op6_html_text, op7_licenses, op8_warc, op9_packing, op10_secrets, pipeline)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-_CLASSES = {0: secret_scan.ASSIGN, 1: secret_scan.ACCESS, 2: secret_scan.HEX}
+#: The base patterns in the spelling of the SQL side, and the least length of what counts.
+_CLASSES = {
+    0: r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+    1: "AKIA[A-Z0-9]+",
+    2: "[0-9a-f]{24,}",
+}
+_KEEP = {0: "length(regexp_extract(m[i], '{p}', 2)) >= 6", 1: "length(m[i]) >= 20", 2: "true"}
 
 
 def _sql_spans(kind: int) -> str:
     """start, kind and stop of every match, by sums over what lies before it."""
     p = _CLASSES[kind].replace("'", "''")
-    keep = f"AND length(regexp_extract(m[i], '{p}', 2)) >= {secret_scan.LEAST}" if kind == 0 else ""
+    keep = _KEEP[kind].replace("{p}", p)
     return f"""SELECT key, {kind} AS kind, starts[i] AS start, starts[i] + length(m[i]) AS stop FROM (
   SELECT key, m, list_transform(range(1, len(m) + 1), lambda i: list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0)) AS starts, unnest(range(1, len(m) + 1)) AS i
-  FROM (SELECT key, regexp_extract_all(text, '{p}') AS m, string_split_regex(text, '{p}') AS g FROM docs WHERE regexp_matches(text, '{p}'))) WHERE true {keep}"""
+  FROM (SELECT key, regexp_extract_all(text, '{p}') AS m, string_split_regex(text, '{p}') AS g FROM docs WHERE regexp_matches(text, '{p}'))) WHERE {keep}"""
 
 
 ORACLES = {
@@ -83,9 +89,9 @@ WITH d AS (SELECT doc_id, sha256({_LOWER}) AS text_sha256 FROM documents),
 g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY 1)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)""",
     "op7_licenses": licenses.oracle(),
-    "op8_warc": f"""
+    "op8_warc": """
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
-g AS (SELECT payload_digest, max(page_id) AS top FROM p WHERE payload_bytes >= {warc.LEAST} GROUP BY 1)
+g AS (SELECT payload_digest, max(page_id) AS top FROM p WHERE payload_bytes >= 1000 GROUP BY 1)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN page_id <> top THEN top END AS refers_to FROM p LEFT JOIN g USING (payload_digest)""",
     "op10_secrets": f"""
