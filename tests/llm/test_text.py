@@ -95,9 +95,57 @@ def test_mixing_meets_its_targets(docs, rows):
     assert sorted(str(tuple(x)) for x in again) == sorted(str((x.doc_id, x.th, x.taken)) for x in got)
 
 
-def test_mixing_shards_split_exactly(docs):
-    got = mixing.mix(docs(prose(400)), blocks=32, levels=2).select(F.explode("shards").alias("s"), F.col("source"), F.col("th")).groupBy("s").count().collect()
-    assert {r.s for r in got} <= {0, 1, 2, 3} and len(got) == 4
+def test_mixing_takes_what_the_tree_gives_to_shards(docs):
+    rows = prose(400)
+    sized = mixing.sized(docs(rows))
+    dealt, plan = mixing.plan_draws(sized, 32, 2)
+    plan = plan.collect()
+    draws = {}
+    for r in plan:
+        assert len(r.shards) == r.full + (r.quota > 0) <= 3 and all(0 <= s < 4 for s in r.shards)
+        for s in r.shards:
+            draws[r.source, s] = draws.get((r.source, s), 0) + 1
+    # quotas of the tree: exact halves of halves of all draws, and each source's own
+    again = mixing.plan_draws(sized, 32, 2)[1]
+    quotas = {r.source: list(r.ends) for r in mixing.split(again.select("source", "full", "quota"), 2).collect()}
+    for source, ends in quotas.items():
+        assert [draws.get((source, s), 0) for s in range(4)] == [b - a for a, b in zip([0, *ends], ends)]
+    by_shard = [sum(n for (_, s), n in draws.items() if s == shard) for shard in range(4)]
+    total = sum(by_shard)
+    left = -(-total // 2)
+    assert by_shard == [-(-left // 2), left // 2, -(-(total - left) // 2), (total - left) // 2]
+    # words taken from a shard are those of the blocks it draws
+    want = {}
+    for r in plan:
+        for i, s in enumerate(r.shards):
+            want[r.source, s] = want.get((r.source, s), 0) + (r.held if i < r.full else r.quota)
+    got = {}
+    for r in mixing.mix(docs(rows), blocks=32, levels=2).collect():
+        assert r.taken == sum(d.n for d in r.draws)
+        for d in r.draws:
+            got[r.source, d.shard] = got.get((r.source, d.shard), 0) + d.n
+    assert got == want
+
+
+def test_mixing_splits_sources_at_random(docs, spark):
+    plan = spark.createDataFrame([(s, i, 1, 1, 0, 1) for s, n in (("a", 400), ("b", 100), (None, 300)) for i in range(n)], "source string, block long, full long, quota long, place long, held long")
+    ends = {r.source: list(r.ends) for r in mixing.split(plan, 3).collect()}
+    assert {s: e[-1] for s, e in ends.items()} == {"a": 800, "b": 200, None: 600}
+    counts = {s: np.diff([0, *e]) for s, e in ends.items()}
+    assert (sum(counts.values()) == 200).all()
+    for s, c in counts.items():
+        mean = ends[s][-1] / 8
+        assert (abs(c - mean) < 5 * mean**0.5).all() and len(set(c.tolist())) > 1
+
+
+@pytest.mark.parametrize("n", [0, 1, 50])
+def test_running_sums(spark, n):
+    rng = random.Random(n)
+    rows = [(rng.choice("abc"), i, rng.randint(0, 9)) for i in range(n)]
+    df = spark.createDataFrame(rows, "s string, i long, x long").repartition(3)
+    got = mixing.running(df, [F.col("s"), F.col("i")], {"before": F.col("x"), "nth": F.lit(1)}).collect()
+    order = sorted(rows)
+    assert sorted(tuple(r) for r in got) == [(*r, sum(x for *_, x in order[:k]), k) for k, r in enumerate(order)]
 
 
 def test_mixing_stage_writes_what_was_taken(docs):
@@ -119,7 +167,7 @@ def test_mixing_stage_deals_rows_to_shards_and_shuffles_them(docs):
     rows = prose(300) + [(900 + i, f"few {i} words", "en", "a") for i in range(40)] + [(None, "d e", "en", "b"), (None, "d e", "en", "b")]
     df = docs(rows)
     out = mixing.stage(df.sparkSession, df, "").withColumn("file", F.spark_partition_id()).collect()
-    assert max(map(out.count, out)) > 1 and len({(r.doc_id, r.text) for r in out}) < len(out)
+    assert len({(r.doc_id, r.text) for r in out}) < len(out)
     apart = [(a.doc_id, a.text) != (b.doc_id, b.text) for a, b in zip(out, out[1:]) if a.file == b.file]
     assert sum(apart) > 0.97 * len(apart)  # in order of joining all passes of a document are neighbours
     dealt = mixing.deal(df).withColumn("file", F.spark_partition_id()).collect()
@@ -130,8 +178,8 @@ def test_mixing_stage_deals_rows_to_shards_and_shuffles_them(docs):
     assert all(len(x) == 1 for x in shards.values()) and set.union(*shards.values()) == set(range(8))
     want, got = {}, {}
     for r in mixing.mix(df).where("taken > 0").collect():
-        for s in r.shards[: r.whole + (r.part > 0)]:
-            want[r.source, s] = want.get((r.source, s), 0) + 1
+        for d in r.draws:
+            want[r.source, d.shard] = want.get((r.source, d.shard), 0) + 1
     for r in dealt:
         got[r.source, r.shard] = got.get((r.source, r.shard), 0) + 1
     assert got == want
