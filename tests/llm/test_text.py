@@ -270,6 +270,43 @@ def sketch_expected(rows):
     return sorted(out)
 
 
+def brute_edit(text, following):
+    k = len(text) // 4
+    return text[: len(text) - k] + following[:k]
+
+
+def brute_fingerprint(text):
+    """Cells filled one digest at a time."""
+    cells = [[0, 0] for _ in range(24)]
+    items = [int(x) for x in sketch.pieces(text)]
+    for x in items:
+        for third in range(3):
+            place = third * 8 + ((x >> 16 * third & 0xFFFF) * 8 >> 16)
+            cells[place][0] += 1
+            cells[place][1] ^= x
+    raw = b"".join(((c + 128) % 256 - 128).to_bytes(1, "little", signed=True) + x.to_bytes(8, "little") for c, x in cells)
+    return __import__("base64").b64encode(len(items).to_bytes(4, "little") + raw).decode()
+
+
+def test_pieces_are_local_to_lines_and_words():
+    lines = [" ".join(str(random.Random(i * 40 + j).random()) for j in range(30)) for i in range(20)]
+    whole = sketch.pieces("\n".join(lines))
+    assert len(whole) > 40
+    first = set(sketch.pieces("\n".join(["changed words", *lines[1:]])).tolist())
+    assert len(set(whole.tolist()) & first) > 0.9 * len(whole)
+    unspaced = "".join(chr(0x4E00 + random.Random(7).randrange(3000) + i % 7 * 40 + i % 311) for i in range(4000))
+    a, b = sketch.pieces(unspaced), sketch.pieces(unspaced[:2000] + "新" + unspaced[2000:])
+    assert len(a) > 20 and sketch.likeness(a, b) > 0.8
+    assert len(sketch.pieces("x" * 1_000_000)) == 1
+
+
+def test_sketch_of_hot_ids_spreads_over_ranges(docs):
+    rows = [(5, f"text {i}") for i in range(200)] + [(None, f"none {i}") for i in range(100)] + [(i, "same") for i in range(100, 150)] + [(7, "same again")] * 90
+    got = sketch.version_sketches(docs(rows).repartition(3), ranges=16).collect()
+    assert sorted((str(r.doc_id), r.n_chars) for r in got) == sorted((str(d), len(t)) for d, t in rows)
+    assert sum(r.near_next == 1 for r in got if r.doc_id == 7) == 89
+
+
 @pytest.mark.parametrize("ranges", [1, 7, 40])
 @pytest.mark.parametrize("rows", [[r for r in EDGE if r[0] != 5], [(i, t) for i, t, *_ in prose(60)], [(3, "just one")], []])
 def test_sketch_versions(docs, rows, ranges):
@@ -279,12 +316,15 @@ def test_sketch_versions(docs, rows, ranges):
     text = {d: t or "" for d, t in rows}
     order = sorted(text, key=lambda d: -(1 << 63) if d is None else d)
     for r in got:
-        a = sketch.passages(text[r.doc_id])
-        b = sketch.passages(text[order[(order.index(r.doc_id) + 1) % len(order)]])
+        a = sketch.pieces(text[r.doc_id])
+        b = sketch.pieces(text[order[(order.index(r.doc_id) + 1) % len(order)]])
         a, b = set(a.tolist()), set(b.tolist())
         assert r.near_next == pytest.approx(len(a & b) / len(a | b) if a | b else 1)
-        a = sketch.passages(text[r.doc_id])
-        assert r.fingerprint == sketch.Sketch(sketch.CELLS, a).pack(len(a))
+        assert r.fingerprint == brute_fingerprint(text[r.doc_id])
+        changed = brute_edit(text[r.doc_id], text[order[(order.index(r.doc_id) + 1) % len(order)]])
+        assert r.edited_fingerprint == brute_fingerprint(changed)
+        c, d = set(sketch.pieces(text[r.doc_id]).tolist()), set(sketch.pieces(changed).tolist())
+        assert r.near_edited == pytest.approx(len(c & d) / len(c | d) if c | d else 1)
 
 
 def test_sketch_of_repeated_rows(docs):
@@ -295,7 +335,7 @@ def test_sketch_of_repeated_rows(docs):
 @pytest.mark.parametrize("seed", range(10))
 def test_peeling_recovers_the_difference(seed):
     rng = random.Random(seed)
-    items = sketch.passages("\n".join(str(rng.random()) for _ in range(400)))
+    items = sketch.pieces("\n".join(str(rng.random()) for _ in range(400)))
     a, b = items[: rng.randint(0, 400)], items[rng.randint(0, 400) :]
     mine, theirs = sketch.difference(a, b)
     a, b = ({x & int(sketch.MASK) for x in y.tolist()} for y in (a, b))

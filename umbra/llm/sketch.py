@@ -1,16 +1,17 @@
-"""Document fingerprints: invertible Bloom lookup sketches of hashed passages.
+"""Document fingerprints: invertible Bloom lookup sketches of hashed paragraphs.
 
-A text's paragraphs (lines) are cut into passages where a word's hash or the end of
-the line says so, four words on average, so that an edit changes only the passages it
-touches. A passage's 48-bit digest (with its number among equal ones) is added to
-three cells, one in each third of the sketch; a cell holds a count and the XOR of its
-digests, each with a 16-bit check. Subtracting the sketches of two versions leaves
-what differs, and peeling cells with a single digest recovers the digests of either
-side. Where peeling gets stuck, both versions are sketched again four times larger.
+A text's paragraphs are its lines. A line is cut further, into runs of eight words on
+average, where a word's hash says so (and text without spaces where that of a character
+does), so that an edit changes only the pieces it touches however few lines a text has.
+A piece's 48-bit digest (with its number among equal ones) is added to three cells, one
+in each third of the sketch; a cell holds a count and the XOR of its digests, each with a
+16-bit check. Subtracting the sketches of two versions leaves what differs, and peeling
+cells with a single digest recovers the digests of either side. Where peeling gets stuck,
+both versions are sketched again four times larger.
 
-The likeness of two texts is shared passages over all passages (1 for two empty texts).
+The likeness of two texts is shared pieces over all pieces (1 for two empty texts).
 
-A fingerprint is the number of passages and the base sketch, in base64: equal texts
+A fingerprint is the number of pieces and the base sketch, in base64: equal texts
 have equal fingerprints. Null text is empty. The next document is that of the next
 larger doc_id (null smallest, ties by a hash of the text), after the last the first;
 a table of one row is its own next. An empty table gives an empty result; other
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import zlib
 
 import numpy as np
@@ -29,16 +31,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from umbra.functions.arrays import let
 from umbra.llm.common import materialize, partitions
 
 CELLS = 24
 GROW = 4
 MASK, _48, _ODD = np.uint64((1 << 48) - 1), np.uint64(48), np.uint64(0x9E3779B97F4A7C15)
 _SHIFTS = np.array([[0], [16], [32]], np.uint64)
-_CUT = 64  # of 256: the share of words after which a passage ends
+_CUT = 32  # of 256: the share of words after which a piece ends
+_UNSPACED = 64  # bytes from which a word is taken for text without spaces
+_CHAR_CUT = 8  # of 256: the share of its characters after which a piece ends
 
 
-def passages(text: str) -> np.ndarray:
+def pieces(text: str) -> np.ndarray:
     """Digests with checks, as uint64: 48 bits of digest, 16 of check above them."""
     seen: dict[bytes, int] = {}
     found: list[bytes] = []
@@ -47,7 +52,12 @@ def passages(text: str) -> np.ndarray:
         words = line.split()
         begun = 0
         for i, word in enumerate(words, 1):
-            if crc(word) & 0xFF < _CUT:
+            if len(word) >= _UNSPACED:
+                if begun < i - 1:
+                    found.append(b" ".join(words[begun : i - 1]))
+                found += unspaced(word)
+                begun = i
+            elif crc(word) & 0xFF < _CUT:
                 found.append(b" ".join(words[begun:i]))
                 begun = i
         if begun < len(words):
@@ -61,6 +71,18 @@ def passages(text: str) -> np.ndarray:
     return keys | check(keys) << _48
 
 
+def unspaced(word: bytes) -> list[bytes]:
+    """A long word cut after characters whose hash says so."""
+    out, begun, at = [], 0, 0
+    for c in word.decode("utf-8", "surrogatepass"):
+        raw = c.encode("utf-8", "surrogatepass")
+        at += len(raw)
+        if zlib.crc32(raw) * 0x9E3779B1 >> 24 & 0xFF < _CHAR_CUT:
+            out.append(word[begun:at])
+            begun = at
+    return out + [word[begun:]] if begun < at else out
+
+
 def check(keys: np.ndarray) -> np.ndarray:
     return (keys & MASK) * _ODD >> _48
 
@@ -159,12 +181,13 @@ def edit(text: str, following: str) -> str:
 
 _SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 _NAMES = [x.split()[0] for x in _SCHEMA.split(", ")]
+SAMPLED = 64  # rows looked at for each range
 SLICE = 256  # rows that are Python objects at a time
 
 
 def _pairs(batches):
     """Rows sorted by (range, guest, ...): each with the row after it in its range."""
-    before = None  # range, guest, doc_id, text, passages, sketch
+    before = None  # range, guest, doc_id, text, pieces, sketch
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
     for whole in batches:
         for first in range(0, whole.num_rows, SLICE):
@@ -173,12 +196,12 @@ def _pairs(batches):
                 if before and before[1] and before[0] == rng:
                     continue  # only the first guest is a next document
                 text = text or ""
-                mine = passages(text)
+                mine = pieces(text)
                 base = Sketch(CELLS, mine)
                 if before and before[0] == rng:
                     _, _, old_id, old, theirs, old_base = before
                     changed = edit(old, text)
-                    edited = passages(changed)
+                    edited = pieces(changed)
                     edited_base = Sketch(CELLS, edited)
                     digest = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest()
                     rows.append((old_id, len(old), digest, old_base.pack(len(theirs)), edited_base.pack(len(edited)), likeness(theirs, edited, old_base, edited_base), likeness(theirs, mine, old_base, base)))
@@ -186,32 +209,54 @@ def _pairs(batches):
             yield pa.record_batch([pa.array(list(x), t) for x, t in zip(zip(*rows) if rows else [[]] * 7, types)], names=_NAMES)
 
 
+def _range_of(place, bounds: list[tuple]):
+    """The number of sorted ``bounds`` (key, th, nr) at or under ``place``, found in
+    three steps down a tree of arrays: a row is held against a few bounds only."""
+    fan = max(2, math.ceil(len(bounds) ** (1 / 3)))
+    many = lambda xs: "array({})".format(", ".join("named_struct('key', {}L, 'th', {}L, 'nr', {}L)".format(*x) for x in xs).replace("-9223372036854775808L", "(-9223372036854775807L - 1L)"))
+    of = "array<struct<key:bigint,th:bigint,nr:bigint>>"
+    leaves = [bounds[i : i + fan - 1] for i in range(0, len(bounds) + 1, fan)]
+    middle = [bounds[i + fan - 1 : i + fan * (fan - 1) : fan] for i in range(0, len(bounds) + 1, fan * fan)]
+    top = bounds[fan * fan - 1 :: fan * fan]
+    tree = [F.expr(f"array({', '.join(many(x) if x else f'cast(array() as {of})' for x in level)})") for level in ([top], middle, leaves)]
+
+    def under(held):
+        return F.coalesce(F.size(F.filter(held, lambda b: b <= place)), F.lit(0))
+
+    def down(above, level, then):
+        return let(above * fan + under(F.get(tree[level], above)), then) if then else above * fan + under(F.get(tree[level], above))
+
+    return let(under(F.get(tree[0], F.lit(0))), lambda g: down(g, 1, lambda h: down(h, 2, None)))
+
+
 def version_sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None) -> DataFrame:
     """The columns of ``_SCHEMA`` for every row of ``docs``.
 
-    Ids are cut into ranges by quantiles. Each range is one sorted run, and gets a
-    guest: a copy of the row that follows its last one. Texts move once.
+    Rows in the order of id, hash of the text and place in the input are cut into ranges
+    by a sample, so that rows of one id, or none, spread over ranges too. Each range is
+    one sorted run, and gets a guest: a copy of the row that follows its last one. Texts
+    are read twice and move once.
     """
     spark = docs.sparkSession
     ranges = ranges or 4 * partitions(spark)
     least = -(1 << 63)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(least)).alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    bounds = rows.approxQuantile("key", [i / ranges for i in range(1, ranges)], max(0.2 / ranges, 2e-5)) if ranges > 1 else []
-    bounds = sorted({int(b) for b in bounds})
-    rng = F.lit(0)
-    if bounds:
-        edges = F.lit(",".join(map(str, bounds)))
-        # the number of bounds at or under the key
-        rng = F.size(F.filter(F.transform(F.split(edges, ","), lambda x: x.cast("long")), lambda x: x <= F.col("key")))
-    rows = rows.withColumn("rng", rng)
-    firsts = materialize(rows.groupBy("rng").agg(F.min("key").alias("first")), "firsts").orderBy("rng").collect()  # ranges rows
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(least)).alias("key"), F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("th"), F.monotonically_increasing_id().alias("nr"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    places = materialize(rows.select("key", "th", "nr"), "places")
+    share = min(1.0, SAMPLED * ranges / max(1, places.count()))
+    drawn = places.where(F.pmod(F.xxhash64("nr", "th"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
+    drawn = sorted(tuple(r) for r in drawn.collect())  # SAMPLED * ranges rows or so
+    bounds = sorted({drawn[len(drawn) * i // ranges] for i in range(1, ranges)}) if drawn else []
+    place = F.struct("key", "th", "nr")
+    rng = _range_of(place, bounds) if bounds else F.lit(0)
+    firsts = places.groupBy(rng.alias("rng")).agg(F.min(place).alias("first")).orderBy("rng").collect()  # ranges rows
     if not firsts:
         return spark.createDataFrame([], _SCHEMA)
     following = {}
     for i, row in enumerate(firsts):
-        following.setdefault(firsts[(i + 1) % len(firsts)]["first"], []).append(row["rng"])
-    table = spark.createDataFrame([(k, v) for k, v in following.items()], "first long, into array<int>")  # at most `ranges` rows
-    guests = rows.join(F.broadcast(table), rows["key"] == table["first"]).select(F.explode("into").alias("rng"), F.lit(True).alias("guest"), "key", "doc_id", "text")
-    every = rows.select("rng", F.lit(False).alias("guest"), "key", "doc_id", "text").unionByName(guests).withColumn("th", F.xxhash64("text"))
-    dealt = every.repartition(partitions(spark), "rng").sortWithinPartitions("rng", "guest", "key", "th", "text")
+        following.setdefault(tuple(firsts[(i + 1) % len(firsts)]["first"]), []).append(row["rng"])
+    table = spark.createDataFrame([(*k, v) for k, v in following.items()], "k long, t long, n long, into array<int>")  # at most `ranges` rows
+    first = rows.join(F.broadcast(table), (F.col("key") == F.col("k")) & (F.col("th") == F.col("t")) & (F.col("nr") == F.col("n")), "left")
+    goes = F.concat(F.array(F.struct(rng.cast("int").alias("rng"), F.lit(False).alias("guest"))), F.coalesce(F.transform("into", lambda r: F.struct(r.alias("rng"), F.lit(True).alias("guest"))), F.array().cast("array<struct<rng:int,guest:boolean>>")))
+    every = first.select(F.explode(goes).alias("to"), "key", "th", "nr", "doc_id", "text").select("to.rng", "to.guest", "key", "th", "nr", "doc_id", "text")
+    dealt = every.repartition(partitions(spark), "rng").sortWithinPartitions("rng", "guest", "key", "th", "nr")
     return dealt.select("rng", "guest", "doc_id", "text").mapInArrow(_pairs, _SCHEMA)
