@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -40,9 +40,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     delete_on_exit(spark, path)
     table = spark.read.schema(df.schema).parquet(path)
     table._umbra_path = path
+    _made.append(table)
     return table
 
 
+_made: list[DataFrame] = []
+
+
+def made(mark: int | None = None):
+    """The number of tables made so far, or those made since that mark."""
+    return len(_made) if mark is None else _made[mark:]
+
+
 def _place(spark, path: str):
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
@@ -60,6 +69,7 @@ def release(*tables: DataFrame | None) -> None:
             fs, hadoop = _place(table.sparkSession, table._umbra_path)
             fs.delete(hadoop, True)
             table._umbra_path = None
+            _made[:] = [x for x in _made if x is not table]
 
 
 HEAVY = 1024
@@ -95,22 +105,30 @@ def ascii_lower(column):
     return F.translate(F.coalesce(column, F.lit("")), UPPER, UPPER.lower())
 
 
-def drop_rows(docs: DataFrame, keys: DataFrame, key_of, merge: bool = False) -> DataFrame:
-    """Remove rows of ``docs`` by ``keys(__id, __th, __kept)``, one row per row of docs.
+def free(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns to be added to rows of somebody else, whatever theirs are."""
+    mark = "__"
+    while any(c.lower().startswith(mark) for c in df.columns):
+        mark += "_"
+    return [mark + x for x in names]
+
+
+def drop_rows(docs: DataFrame, keys: DataFrame, th: Column, merge: bool = False) -> DataFrame:
+    """Remove rows of ``docs`` by ``keys(id, th, kept)``, one row per row of docs.
 
-    ``key_of(docs)`` adds the columns ``__id`` and ``__th`` that name a row. Rows of
-    one name are repeats of each other; of those one stays if any of them stays.
-    ``merge`` plans a merge join at every size, for names to drop that are a fixed
-    share of all rows and outgrow any broadcast; else the planner goes by their size.
+    A row is named by its doc_id and ``th``, a hash of its text. Rows of one name are
+    repeats of each other; of those one stays if any of them stays. ``merge`` plans a
+    merge join at every size, for names to drop that are a fixed share of all rows and
+    outgrow any broadcast; else the planner goes by their size.
     """
-    per = keys.groupBy("__id", "__th").agg(F.sum(F.col("__kept").cast("int")).alias("__n"), F.count("*").alias("__all"))
-    lost = materialize(per.where("__n < __all"), "lost")
+    i, t, li, lt, n = free(docs, "id", "th", "lost_id", "lost_th", "n")
+    per = keys.groupBy("id", "th").agg(F.sum(F.col("kept").cast("int")).alias(n), F.count("*").alias("of"))
+    lost = materialize(per.where(F.col(n) < F.col("of")).select(F.col("id").alias(li), F.col("th").alias(lt), n), "lost")
     lost = lost.hint("merge") if merge else lost
-    named = key_of(docs)
-    same = lambda a, b: a["__id"].eqNullSafe(b["__id"]) & (a["__th"] == b["__th"])
-    rest = named.join(lost, same(named, lost), "left_anti").drop("__id", "__th")
-    again = lost.where("__n > 0")
+    named = docs.withColumns({i: F.col("doc_id").cast("long"), t: th})
+    same = F.col(i).eqNullSafe(F.col(li)) & (F.col(t) == F.col(lt))
+    rest = named.join(lost, same, "left_anti").drop(i, t)
+    again = lost.where(F.col(n) > 0)
     if again.isEmpty():
         return rest
-    named = key_of(docs)
-    return rest.unionByName(named.join(again, same(named, again), "left_semi").dropDuplicates(["__id", "__th"]).drop("__id", "__th"))
+    return rest.unionByName(named.join(again, same, "left_semi").dropDuplicates([i, t]).drop(i, t))

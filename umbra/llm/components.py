@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from umbra.llm.common import materialize
+from umbra.llm.common import materialize, release
 
 
 def forest(pairs) -> list[tuple[int, int]]:
@@ -38,16 +38,20 @@ def components(edges: DataFrame) -> DataFrame:
     longest chain. The join with the minima shuffles both sides, so that AQE can
     split a hub with many neighbours."""
     contracted = lambda e: e.mapInArrow(_contract, "u long, v long").distinct()
-    now, before = materialize(contracted(edges.where("u != v")), "edges"), None
-    while True:
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if not state[0] or state == before:
-            return now.select("u", F.col("v").alias("root"))
-        before = state
+    now = materialize(contracted(edges.where("u != v")), "edges")
+    while not stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialize(large, "large")
-        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.withColumnRenamed("m", "v"))
-        now = materialize(small.where("u != v").distinct(), "edges")
+        before, now = now, materialize(contracted(small.where("u != v")), "edges")
+        release(before, large)
+    return now.select("u", F.col("v").alias("root"))
+
+
+def stars(edges: DataFrame) -> bool:
+    """Whether each node has one edge, to the smallest of its component."""
+    nodes = edges.agg(F.count("*").alias("n"), F.count_distinct("u").alias("nodes")).first()
+    return nodes["n"] == nodes["nodes"] and edges.join(edges.select(F.col("u").alias("w")), F.col("v") == F.col("w"), "left_semi").isEmpty()

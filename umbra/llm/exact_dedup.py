@@ -12,7 +12,8 @@
 
 Null text counts as empty; null doc_id is an id of its own that is smaller than any
 other. Of equal texts the row with the largest doc_id stays; of repeated rows with
-that doc_id one stays. An empty table gives an empty result. Other columns of the
+that doc_id one stays. A text of a third of all rows is no one task's: its facts are
+broadcast to its rows (``join_facts``). An empty table gives an empty result. Other columns of the
 input are not read.
 """
 
@@ -27,10 +28,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from umbra.llm.common import ascii_lower, drop_rows, materialize, partitions
+from umbra.llm.common import ascii_lower, drop_rows, join_facts, materialize, partitions
 
 FP_BITS = 48
 BLOCK_ROWS = 200_000
+OWNER_ROWS = 1_000_000  # about how many fingerprints an owner decodes at a time
 _SCHEMA = "doc_id long, row_key long, sha string, block long, owner int, rank int, again boolean, payload binary"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("sha", pa.string()), ("block", pa.int64()), ("owner", pa.int32()), ("rank", pa.int32()), ("again", pa.bool_()), ("payload", pa.binary())])
 
@@ -115,7 +117,7 @@ def _owner(pdf):
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, row_key, text_sha256, keep_id, group_size, kept."""
     spark = docs.sparkSession
-    owners = partitions(spark)
+    owners = max(partitions(spark), -(-docs.count() // OWNER_ROWS))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sent = materialize(texts.mapInArrow(_sender(owners), _SCHEMA), "fingerprints")
     bitmaps = sent.where("payload is not null").select("block", "owner", "payload").groupBy("owner").applyInPandas(_owner, "block long, owner int, bitmap binary")
@@ -129,7 +131,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     proven = proven.select("sha", F.when(F.col("texts") > 1, F.raise_error(F.lit("two texts share a SHA-256"))).otherwise(F.lit(True)).alias("proven"))
     groups = rows.where("suspect").groupBy("sha").agg(F.max(F.struct("doc_id", "row_key")).alias("top"), F.count("*").alias("size")).where("size > 1")
     groups = materialize(groups.join(proven, "sha").where("proven").select("sha", F.col("top.doc_id").alias("top_id"), F.col("top.row_key").alias("top_key"), "size"), "groups")
-    return rows.join(groups, "sha", "left").select(
+    return join_facts(rows, groups, "sha", "size").select(
         "doc_id", "row_key",
         F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(F.col("top_id")).alias("keep_id"),
         F.coalesce("size", F.lit(1)).cast("long").alias("group_size"),
@@ -140,5 +142,5 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the rows that stay, with their columns."""
-    rows = exact_groups(docs).select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__th"), F.col("kept").alias("__kept"))
-    return drop_rows(docs, rows, lambda d: d.withColumns({"__id": F.col("doc_id").cast("long"), "__th": F.sha2(ascii_lower(F.col("text")), 256)}), merge=True)
+    rows = exact_groups(docs).select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("th"), "kept")
+    return drop_rows(docs, rows, F.sha2(ascii_lower(F.col("text")), 256), merge=True)

@@ -40,7 +40,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from umbra.llm.common import join_facts, materialize, partitions
+from umbra.llm.common import free, join_facts, materialize, partitions
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -181,33 +181,35 @@ def first_words(text: Column, n: Column) -> Column:
     return F.array_join(F.slice(runs, F.lit(1), n.cast("int")), "")
 
 
-def deal(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` as often as the mix takes them, with ``shard``, by shard and
+def deal(docs: DataFrame, name: str = "shard") -> DataFrame:
+    """Rows of ``docs`` as often as the mix takes them, with their shard in the column
+    ``name``, by shard and
     within it in the order of a hash. A shard is cut into slices by that hash, one a
     partition, so that its size is bounded by no task."""
     taken = mix(docs).where("taken > 0").select("doc_id", "th", "size", F.transform("draws", lambda d: F.struct(d["n"].alias("n"), d["shard"].alias("shard"))).alias("copies"))
-    taken = materialize(taken.groupBy("doc_id", "th").agg(F.max("size").alias("size"), F.sort_array(F.flatten(F.collect_list("copies"))).alias("copies"), F.count("*").alias("same")), "taken")
-    # rows that repeat share one entry: what they take together is given to one of them
-    named = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__th": F.xxhash64(F.coalesce("text", F.lit("")))})
-    repeats = taken.where("same > 1").select("doc_id", "th")
+    taken = materialize(taken, "taken")
+    i, t, ti, tt, tsize, copies, nth, copy, n, shard, order = free(docs, "id", "th", "t_id", "t_th", "size", "copies", "nth", "copy", "n", "shard", "order")
+    # rows that repeat are one row here, which meets what each of them takes
+    named = docs.withColumns({i: F.col("doc_id").cast("long"), t: F.xxhash64(F.coalesce("text", F.lit("")))})
+    repeats = materialize(taken.groupBy("doc_id", "th").count().where("count > 1").select(F.col("doc_id").alias(ti), F.col("th").alias(tt)), "repeats")
+    same = F.col(i).eqNullSafe(F.col(ti)) & (F.col(t) == F.col(tt))
     if not repeats.isEmpty():
-        again = named.join(repeats, named["__id"].eqNullSafe(repeats["doc_id"]) & (named["__th"] == repeats["th"]), "left_semi").dropDuplicates(["__id", "__th"])
-        named = named.join(repeats, named["__id"].eqNullSafe(repeats["doc_id"]) & (named["__th"] == repeats["th"]), "left_anti").unionByName(again)
-    t = taken.select(F.col("doc_id").alias("__i"), F.col("th").alias("__t"), F.col("size").alias("__size"), F.col("copies").alias("__copies"))
-    joined = named.join(t, named["__id"].eqNullSafe(t["__i"]) & (named["__th"] == t["__t"]))
-    each = joined.select(*named.columns, "__size", F.posexplode("__copies").alias("__nth", "__copy"))
-    each = each.withColumn("__n", F.col("__copy.n")).withColumn("__shard", F.col("__copy.shard"))
-    text = F.when(F.col("__n") < F.col("__size"), first_words(F.col("text"), F.col("__n"))).otherwise(F.col("text"))
-    each = each.withColumn("n_chars", F.when(F.col("__n") < F.col("__size"), F.length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    each = each.withColumn("text", text).withColumn("__order", F.shiftrightunsigned(_hash(F.lit("order"), "__id", "__th", "__nth"), 1))
+        again = named.join(repeats, same, "left_semi").dropDuplicates([i, t])
+        named = named.join(repeats, same, "left_anti").unionByName(again)
+    takes = taken.select(F.col("doc_id").alias(ti), F.col("th").alias(tt), F.col("size").alias(tsize), F.col("copies").alias(copies))
+    each = named.join(takes, same).select(*named.columns, tsize, F.posexplode(copies).alias(nth, copy))
+    each = each.withColumns({n: F.col(f"{copy}.n"), shard: F.col(f"{copy}.shard")})
+    text = F.when(F.col(n) < F.col(tsize), first_words(F.col("text"), F.col(n))).otherwise(F.col("text"))
+    each = each.withColumn("n_chars", F.when(F.col(n) < F.col(tsize), F.length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    each = each.withColumn("text", text).withColumn(order, F.shiftrightunsigned(_hash(F.lit("order"), i, t, nth), 1))
     slices = -(-partitions(docs.sparkSession) // 2**LEVELS)
-    slice_ = F.shiftright(F.shiftright("__order", 31) * slices, 32)  # of equal width, in the order of the hash
-    dealt = each.repartitionById(slices * 2**LEVELS, (F.col("__shard") * slices + slice_).cast("int"))
-    return dealt.sortWithinPartitions("__shard", "__order", "__id", "__th", "__nth").select(*docs.columns, F.col("__shard").alias("shard"))
+    slice_ = F.shiftright(F.shiftright(order, 31) * slices, 32)  # of equal width, in the order of the hash
+    dealt = each.repartitionById(slices * 2**LEVELS, (F.col(shard) * slices + slice_).cast("int"))
+    return dealt.sortWithinPartitions(shard, order, i, t, nth, n).withColumnRenamed(shard, name).select(*docs.columns, name)
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: each row as often as the mix takes it, dealt to shards, and where
     the last pass ends within a row (one of a source at most) its first words for the
     rest; n_chars follows. Rows that the mix doesn't take go."""
-    return deal(docs).select(*docs.columns)
+    return deal(docs, *free(docs, "in_shard")).select(*docs.columns)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from umbra.llm.common import drop_rows, materialize, partitions
+from umbra.llm.common import drop_rows, join_facts, materialize, partitions
 from umbra.llm.components import components
 
 RADIUS = 2
@@ -179,13 +179,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     fingerprint that names the component, whatever its ids) per row."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = materialize(rows.mapInArrow(_fingerprints, "doc_id long, fp long, th long"), "simhash")
-    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
     tree = components(links(distinct.select("fp"), block))
     tree = tree.withColumnRenamed("u", "fp")
-    rooted = materialize(distinct.join(tree, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
-    least = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
-    named = materialize(rooted.join(least, "root").select("fp", "component_id", "root"), "named")
-    return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "th", "root")
+    rooted = materialize(distinct.join(tree, "fp", "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root")), "rooted")
+    least = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("fps")), "least")
+    named = materialize(join_facts(rooted, least, "root", "fps").select("fp", "component_id", "root", "n"), "named")
+    return join_facts(rows, named, "fp", "n").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "th", "root")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -194,6 +194,6 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows one). Components go by their root: ids may be null or stand for several texts."""
     rows = materialize(near_groups(docs).withColumn("nth", F.monotonically_increasing_id()), "near")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "th", "nth")
-    first = materialize(rows.groupBy("root").agg(F.min(order)["nth"].alias("first")), "first")
-    keys = rows.join(first, "root").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), (F.col("nth") == F.col("first")).alias("__kept"))
-    return drop_rows(docs, keys, lambda d: d.withColumns({"__id": F.col("doc_id").cast("long"), "__th": F.xxhash64(F.coalesce("text", F.lit("")))}))
+    first = materialize(rows.groupBy("root").agg(F.min(order)["nth"].alias("first"), F.count("*").alias("n")), "first")
+    keys = join_facts(rows, first, "root", "n").select(F.col("doc_id").alias("id"), "th", (F.col("nth") == F.col("first")).alias("kept"))
+    return drop_rows(docs, keys, F.xxhash64(F.coalesce("text", F.lit(""))))
