@@ -169,3 +169,34 @@ def test_components_of_chains_stars_and_random_edges(spark):
         parent[max(a, b)] = min(a, b)
     got = components(spark.createDataFrame(edges, "u long, v long").repartition(4)).collect()
     assert sorted(map(tuple, got)) == sorted((x, root(x)) for x in parent if root(x) != x)
+
+
+def test_a_block_of_thousands_with_linked_and_unlinked_members(spark):
+    """More than BLOCK fingerprints share two parts, so they go the other way."""
+    rng = random.Random(8)
+    high = 0x1234_5678 << 32
+    fps = {high | rng.getrandbits(32) for _ in range(3000)}
+    for base in list(fps)[:300]:
+        fps.add(base ^ (1 << rng.randrange(32)))
+        fps.add(base ^ (1 << rng.randrange(32)) ^ (1 << rng.randrange(32)))
+    fps = sorted(fps)
+    assert len(fps) > 3 * simhash.BLOCK
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    got = components(simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long").repartition(3))).collect()
+    root = {x: x for x in signed}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    known = set(signed)
+    for x in signed:
+        for i in range(64):
+            for j in range(i, 64):
+                y = x ^ (1 << i) ^ ((1 << j) if j > i else 0)
+                if y in known and y < x:
+                    a, b = find(x), find(y)
+                    root[max(a, b)] = min(a, b)
+    assert sorted((r.u, r.root) for r in got) == sorted((x, find(x)) for x in signed if find(x) != x)
+    assert 300 < len(got) < 2000

@@ -350,3 +350,29 @@ def test_peeling_ends_on_any_cells():
         keys = rng.integers(0, 1 << 48, 24, dtype=np.uint64)
         s.xor = keys | sketch.check(keys) << np.uint64(48)
         s.peel()
+
+
+def test_language_ties_and_repeated_rows(docs):
+    same = [(i, "ab ab ab", lang) for i in range(40) for lang in ("x", "y")]
+    got = lang_id.identify(docs(same)).collect()
+    assert len(got) == 80 and {r.lang_pred for r in got} == {"x"} and {round(r.score, 6) for r in got} == {0.5}
+    five = next(i for i in range(9) if zlib.crc32(str(i).encode()) % 4 != 2)
+    odd = [(five, "the cat", "en")] * 60 + [(five, "le chat", "fr")] * 60 + [(None, "the cat", "fr")] * 9
+    got = lang_id.identify(docs(odd)).collect()
+    assert {(r.lang_pred, r.held_out) for r in got if r.doc_id is None} == {("en", False)} and len(got) == 129
+    assert len({(r.doc_id, r.lang_pred, r.score) for r in got if r.doc_id == five}) == 2
+
+
+def test_language_sample_holds_rare_languages(docs):
+    rows = [(i, f"the word number {i}", "en") for i in range(3000)] + [(5000 + i, f"das wort ist {i}", "de") for i in range(12)]
+    langs, matrix = lang_id.fit(docs(rows), sample=200)
+    assert langs == ["de", "en"] and matrix.shape == (lang_id.DIM + 2, 2)
+    assert lang_id.predict(["das wort", "the word"], langs, matrix)[0] == ["de", "en"]
+
+
+def test_language_matrix_is_bounded(docs, monkeypatch):
+    assert [lang_id.height(n) for n in (0, 1, 128, 129, 1000)] == [1 << 16, 1 << 16, 1 << 16, 1 << 15, 1 << 13]
+    monkeypatch.setattr(lang_id, "CELLS", 1 << 12)
+    langs, matrix = lang_id.fit(docs(prose(400)))
+    assert matrix.shape == (1026, 3)
+    assert lang_id.predict(["the and ing", "sch keit"], langs, matrix)[0] == ["en", "de"]
