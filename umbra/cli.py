@@ -68,13 +68,13 @@ def run_files(spark: SparkSession, docs: DataFrame, options: results.Options, re
     routed = routing.route(docs, registry.dimension(spark), options.backend)
     routed = routed.withColumn("output", ingest.output_path(F.col("path"), F.col("root"), options.output_dir))
     text = routed.where((F.col("backend") == "builtin") & F.col("media_type").isin("text", "structured")).withColumn("body", ingest.decode(F.col("content")))
-    text = results.redact_text(text.drop("content"), "body", options)
+    text = results.rewrite_text(text.drop("content"), "body", options)
     plain = text.select("path", "output", "backend", "media_type", F.lit(True).alias("success"), "entities", "redacted_text", F.array().cast("array<string>").alias("unredacted"), F.lit("dry run" if options.dry_run else "").alias("message"), F.col("redacted_text").cast("binary").alias("content"))
     settings = containers.Settings(options.mode, options.entities, options.threshold, options.mask_char, options.hash_key, options.images, options.attachments)
     if options.images == "blur":
-        settings.image_redactor = registry.image_redactor(settings)
+        settings.image_rewriter = registry.image_rewriter(settings)
     boxed = routed.where((F.col("backend") == "builtin") & F.col("media_type").isin(*CONTAINERS))
-    boxed = containers.redact_containers(boxed, settings, options.dry_run).join(boxed.select("path", "output", "backend").distinct(), "path")
+    boxed = containers.rewrite_containers(boxed, settings, options.dry_run).join(boxed.select("path", "output", "backend").distinct(), "path")
     none = F.array().cast(f"array<{spans.ENTITY}>")
     other = routed.where(F.col("error").isNotNull() | ~F.col("backend").isin("builtin", *[b.name for b in plugins]))
     failed = other.select("path", "output", "backend", "media_type", F.lit(False).alias("success"), none.alias("entities"), F.lit(None).cast("string").alias("redacted_text"), F.array().cast("array<string>").alias("unredacted"), F.coalesce("error", F.lit("this backend is a plug-in that is not installed")).alias("message"), F.lit(None).cast("binary").alias("content"))

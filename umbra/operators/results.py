@@ -14,7 +14,7 @@ SCHEMA_VERSION = "1.0"
 
 @dataclass(frozen=True)
 class Options:
-    """How a run redacts; resolved when the plan is built."""
+    """How a run rewrites; resolved when the plan is built."""
 
     backend: str = "auto"
     mode: str = "replace"
@@ -30,7 +30,7 @@ class Options:
     extra: dict = field(default_factory=dict)
 
 
-def redact_text(docs: DataFrame, text_col: str = "text", options: Options | None = None, detector: Column | None = None) -> DataFrame:
+def rewrite_text(docs: DataFrame, text_col: str = "text", options: Options | None = None, detector: Column | None = None) -> DataFrame:
     """``docs`` with ``entities`` and ``redacted_text``; one narrow projection. A
     ``detector`` column (spans of a model) is added to the recognizers' spans."""
     o = options or Options()
@@ -41,11 +41,11 @@ def redact_text(docs: DataFrame, text_col: str = "text", options: Options | None
     return out.withColumn("redacted_text", spans.rewrite(text, F.col("entities"), o.mode, o.mask_char, o.hash_key))
 
 
-def redact_columns(table: DataFrame, columns: list[str], options: Options | None = None) -> DataFrame:
+def rewrite_columns(table: DataFrame, columns: list[str], options: Options | None = None) -> DataFrame:
     """Any typed table with the named string columns rewritten."""
     o = options or Options()
     wanted = list(o.entities) if o.entities else None
-    return table.withColumns({c: spans.redact(F.col(c), o.mode, wanted, o.threshold, mask_char=o.mask_char, key=o.hash_key)["text"] for c in columns})
+    return table.withColumns({c: spans.rewrite_text(F.col(c), o.mode, wanted, o.threshold, mask_char=o.mask_char, key=o.hash_key)["text"] for c in columns})
 
 
 def entities(found: DataFrame, *keys: str) -> DataFrame:

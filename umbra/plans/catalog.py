@@ -1,4 +1,4 @@
-"""Queries of the redaction engine, and their SQL.
+"""Queries of the engine, and their SQL.
 
 Queries named after values that the documents don't hold (SSN, IBAN, IPv6, ZIP) run on
 texts made from key columns in both engines.
@@ -164,32 +164,32 @@ def entity_offsets(spark, sf_dir):
     return found(spark, sf_dir)
 
 
-def _redact_sql(replacement: str) -> str:
+def _rewrite_sql(replacement: str) -> str:
     return f"SELECT doc_id, regexp_replace(text, '{_P['EMAIL_ADDRESS']}', '{replacement}', 'g') AS redacted FROM ({_D})"
 
 
 def _redacted(spark, sf_dir, mode, only=("EMAIL_ADDRESS",), **how):
-    rows = results.redact_text(documents(spark, sf_dir), options=results.Options(mode=mode, entities=only, **how))
+    rows = results.rewrite_text(documents(spark, sf_dir), options=results.Options(mode=mode, entities=only, **how))
     return rows.select("doc_id", F.col("redacted_text").alias("redacted"))
 
 
-@query(_redact_sql("<EMAIL_ADDRESS>"))
-def redact_replace(spark, sf_dir):
+@query(_rewrite_sql("<EMAIL_ADDRESS>"))
+def rewrite_replace(spark, sf_dir):
     return _redacted(spark, sf_dir, "replace")
 
 
-@query(_redact_sql("********"))
-def redact_mask(spark, sf_dir):
+@query(_rewrite_sql("********"))
+def rewrite_mask(spark, sf_dir):
     return _redacted(spark, sf_dir, "mask")
 
 
-@query(_redact_sql(""))
-def redact_remove(spark, sf_dir):
-    return _redacted(spark, sf_dir, "redact")
+@query(_rewrite_sql(""))
+def rewrite_remove(spark, sf_dir):
+    return _redacted(spark, sf_dir, spans.REMOVE)
 
 
-@query(_redact_sql("<EMAIL_ADDRESS>"))
-def redact_blur_text(spark, sf_dir):
+@query(_rewrite_sql("<EMAIL_ADDRESS>"))
+def rewrite_blur_text(spark, sf_dir):
     return _redacted(spark, sf_dir, "blur")
 
 
@@ -198,7 +198,7 @@ _TOKEN = f"substr(sha256(unhex('{_OPAD}' || sha256(unhex('{_IPAD}' || hex(encode
 
 
 @query(f"SELECT doc_id, \"start\", '<' || entity_type || ':' || {_TOKEN} || '>' AS token FROM ({_FOUND})")
-def redact_hash_tokens(spark, sf_dir):
+def rewrite_hash_tokens(spark, sf_dir):
     pads = spans.hmac_pads(KEY)
     return found(spark, sf_dir).select("doc_id", "start", spans.replacement({"entity_type": F.col("entity_type"), "text": F.col("text")}, "hash", pads=pads).alias("token"))
 
@@ -208,12 +208,12 @@ FROM ({_D}) d LEFT JOIN (SELECT doc_id, list({{'s': "start", 'e': "end", 'r': RE
 
 
 @query(_REWRITTEN.replace("REPLACEMENT", f"'<' || entity_type || ':' || {_TOKEN} || '>'"))
-def redact_hash(spark, sf_dir):
+def rewrite_hash(spark, sf_dir):
     return _redacted(spark, sf_dir, "hash", None, hash_key=KEY)
 
 
 @query(_REWRITTEN.replace("REPLACEMENT", "'<' || entity_type || '>'"))
-def redact_all_labels(spark, sf_dir):
+def rewrite_all_labels(spark, sf_dir):
     return _redacted(spark, sf_dir, "replace", None)
 
 
@@ -230,7 +230,7 @@ def per_document_counts(spark, sf_dir):
 
 
 def _results(spark, sf_dir):
-    return results.as_results(results.redact_text(documents(spark, sf_dir)), "doc_id")
+    return results.as_results(results.rewrite_text(documents(spark, sf_dir)), "doc_id")
 
 
 @query(f"SELECT (SELECT count(*) FROM documents) AS documents, 0::bigint AS failed, 0::bigint AS incomplete, (SELECT count(*) FROM ({_FOUND})) AS entities, true AS all_safe, 0 AS exit_code")
@@ -349,7 +349,7 @@ def _artifacts(spark, sf_dir, redacted: bool) -> DataFrame:
     name = F.concat(F.lit("/out/"), F.col("doc_id").cast("string"), F.lit(".redacted.txt" if redacted else ".txt"))
     text = F.coalesce("text", F.lit(""))
     if redacted:
-        text = F.when(F.col("doc_id") % 2 == 0, spans.redact(text, "replace", None, 0.35)["text"]).otherwise(text)
+        text = F.when(F.col("doc_id") % 2 == 0, spans.rewrite_text(text, "replace", None, 0.35)["text"]).otherwise(text)
     return documents(spark, sf_dir).select(name.alias("path"), text.alias("text"))
 
 
@@ -417,13 +417,13 @@ def shared_string_locations(spark, sf_dir):
 
 # -- containers and pictures -----------------------------------------------------------
 @query(f"""SELECT doc_id, '<EMAIL_ADDRESS>' || CASE WHEN text = '' THEN '' ELSE chr(10) || regexp_replace(text, '{_P['EMAIL_ADDRESS']}', '<EMAIL_ADDRESS>', 'g') END AS redacted, true AS success FROM ({_D})""")
-def redact_mail_container(spark, sf_dir):
+def rewrite_mail_container(spark, sf_dir):
     """Documents as the bodies of messages, rewritten in the message."""
     from umbra.sources import containers
 
     raw = F.concat(F.lit("From: user"), F.col("doc_id").cast("string"), F.lit("@example.com\n\n"), F.coalesce("text", F.lit("")))
     mails = documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("path"), F.lit("email").alias("media_type"), raw.cast("binary").alias("content"))
-    rows = containers.redact_containers(mails, containers.Settings(entities=("EMAIL_ADDRESS",)))
+    rows = containers.rewrite_containers(mails, containers.Settings(entities=("EMAIL_ADDRESS",)))
     return rows.select(F.col("path").cast("long").alias("doc_id"), F.col("redacted_text").alias("redacted"), "success")
 
 
@@ -545,7 +545,7 @@ def video_verification(spark, sf_dir):
 
 # -- streams ---------------------------------------------------------------------------
 @query(_REWRITTEN.replace("REPLACEMENT", "'<' || entity_type || '>'"))
-def streaming_redact(spark, sf_dir):
+def streaming_rewrite(spark, sf_dir):
     """The batch projection over a file stream, to the same rows."""
     import uuid
 
@@ -554,7 +554,7 @@ def streaming_redact(spark, sf_dir):
     name = f"redacted_{uuid.uuid4().hex}"
     source = documents(spark, sf_dir)
     stream = spark.readStream.schema(table(spark, sf_dir, "documents").schema).parquet(*_stream_path(spark, sf_dir))
-    out = jobs.redact_stream(stream.select(*source.columns)).select("doc_id", F.col("redacted_text").alias("redacted"))
+    out = jobs.rewrite_stream(stream.select(*source.columns)).select("doc_id", F.col("redacted_text").alias("redacted"))
     run = out.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.table(name)

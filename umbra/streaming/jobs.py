@@ -1,4 +1,4 @@
-"""Streaming forms: redaction of arriving rows, and the tracker as keyed state."""
+"""Streaming forms: rewriting of arriving rows, and the tracker as keyed state."""
 
 from __future__ import annotations
 
@@ -11,9 +11,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from umbra.operators import results, tracker
 
 
-def redact_stream(stream: DataFrame, text_col: str = "text", options: results.Options | None = None) -> DataFrame:
+def rewrite_stream(stream: DataFrame, text_col: str = "text", options: results.Options | None = None) -> DataFrame:
     """The batch projection over a stream: stateless, append mode."""
-    return results.redact_text(stream, text_col, options)
+    return results.rewrite_text(stream, text_col, options)
 
 
 def track_stream(frames: DataFrame, end_after: str = "1 minute", **settings) -> DataFrame:
@@ -53,6 +53,6 @@ def track_stream(frames: DataFrame, end_after: str = "1 minute", **settings) ->
 
 def entity_counts_stream(stream: DataFrame, time_col: str, window: str = "5 minutes", late: str = "10 minutes", text_col: str = "text", options: results.Options | None = None) -> DataFrame:
     """Entities per label and window of event time; late rows within the watermark."""
-    found = redact_stream(stream.withWatermark(time_col, late), text_col, options)
+    found = rewrite_stream(stream.withWatermark(time_col, late), text_col, options)
     each = found.select(time_col, F.explode("entities.entity_type").alias("entity_type"))
     return each.groupBy(F.window(time_col, window), "entity_type").count()
