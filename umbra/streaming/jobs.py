@@ -18,35 +18,40 @@ def rewrite_stream(stream: DataFrame, text_col: str = "text", options: results.O
 
 def track_stream(frames: DataFrame, end_after: str = "1 minute", **settings) -> DataFrame:
     """Masks of a stream of frames, ``max_gap`` frames late. State is one tracker per
-    video, bounded by its live tracks and the held-back frames. A video from which
-    nothing came for ``end_after`` is flushed, and its last row has the statistics.
-    Frames of a micro-batch are sorted; one that doesn't follow gives an error row and
-    ends the video, as the masks after it could not be trusted."""
+    video, bounded by its live paths, those that ended lately and the open frames.
+
+    Frames of a micro-batch are sorted. One that doesn't follow, or can't be read, ends
+    the video: the masks before it are given, then an error row, and frames that come
+    later give error rows too, as masks after a hole could not be trusted. A video from
+    which nothing came for ``end_after`` is flushed. Each last row of a micro-batch has
+    the counters so far and the gaps noted since the one before."""
     wait = {"second": 1000, "minute": 60_000, "hour": 3_600_000}
     n, unit = end_after.split()
     millis = int(n) * wait[unit.rstrip("s")]
-    names = ("x1", "y1", "x2", "y2", "score", "label")
 
     def run(key, pdfs, state: GroupState):
         import pandas as pd
 
-        t, rows, stats, error = tracker.Tracker(**settings), [], None, None
+        t, over = tracker.Tracker(**settings), None
         if state.exists:
-            t.load(state.get[0])
+            saved = json.loads(state.get[0])
+            over = saved["error"]
+            t.load(saved["tracker"])
         if state.hasTimedOut:
-            rows, stats = t.flush(), json.dumps(t.stats())
+            rows = [] if over else t.flush()
             state.remove()
+            yield tracker.mask_rows(key[0], rows, json.dumps({**t.stats(), "unresolved_gaps": t.take_gaps()}), None)
+            return
+        arrived = pd.concat(list(pdfs)).sort_values("frame_index")
+        if over:
+            rows, error = [], f"the video ended before: {over}"
         else:
-            arrived = pd.concat(list(pdfs)).sort_values("frame_index")
-            try:
-                for frame, boxes in arrived[["frame_index", "detections"]].itertuples(index=False):
-                    rows += t.push(int(frame), [tuple(d.values()) if isinstance(d, dict) else tuple(d) for d in boxes])
-            except ValueError as e:
-                error, rows = str(e), [(None, [])]
-            state.update((t.dump(),))
-            state.setTimeoutDuration(millis)
-        out = [(key[0], f, [dict(zip(names, m)) for m in masks], stats if i == len(rows) - 1 else None, error) for i, (f, masks) in enumerate(rows)]
-        yield pd.DataFrame(out, columns=["video_id", "frame_index", "masks", "stats", "error"]).astype({"frame_index": "Int32"})
+            rows, error = tracker.push_all(t, arrived[["frame_index", "detections"]].itertuples(index=False))
+            over = error
+        stats = json.dumps({**t.stats(), "unresolved_gaps": t.take_gaps()}) if rows else None
+        state.update((json.dumps({"tracker": t.dump(), "error": over}),))
+        state.setTimeoutDuration(millis)
+        yield tracker.mask_rows(key[0], rows, stats, error)
 
     return frames.groupBy("video_id").applyInPandasWithState(run, tracker.MASKS, "state string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
