@@ -506,32 +506,69 @@ def match_score_theta_join(spark, sf_dir):
 
 
 def _frames(spark, sf_dir):
+    """A face and a plate that move evenly through a user's events and are seen now and
+    then."""
     e = table(spark, sf_dir, "events").withColumn("rn", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1)
-    x = (F.col("rn") * 3 + F.col("user_id") % 7).cast("double")
-    det = F.struct(x.alias("x1"), F.lit(0.0).alias("y1"), (x + 12).alias("x2"), F.lit(10.0).alias("y2"), F.lit(0.9).alias("score"), F.lit("FACE").alias("label"))
-    some = F.when(F.pmod(F.col("event_id") * 7919, F.lit(11)) < 7, F.array(det)).otherwise(F.array().cast(f"array<{tracker.DETECTION}>"))
-    return e.select(F.col("user_id").cast("string").alias("video_id"), F.col("rn").cast("int").alias("frame_index"), some.alias("detections"))
 
+    def thing(label, speed, y, width, height, score, seen):
+        x = (F.col("rn") * speed + F.col("user_id") % 7).cast("double")
+        box = F.struct(x.alias("x1"), F.lit(y).alias("y1"), (x + width).alias("x2"), F.lit(y + height).alias("y2"), F.lit(score).alias("score"), F.lit(label).alias("label"))
+        return F.when(seen, F.array(box)).otherwise(F.array().cast(f"array<{tracker.DETECTION}>"))
 
-@query()
+    face = thing("FACE", 3, 0.0, 12.0, 10.0, 0.9, F.pmod(F.col("event_id") * 7919, F.lit(11)) < 7)
+    plate = thing("PLATE", 4, 50.0, 14.0, 8.0, 0.8, F.pmod(F.col("event_id") * 104729, F.lit(13)) < 5)
+    return e.select(F.col("user_id").cast("string").alias("video_id"), F.col("rn").cast("int").alias("frame_index"), F.concat(face, plate).alias("detections"))
+
+
+# both things stay within reach over two missed frames, so a path breaks where three or more are missed
+_THINGS = """e AS (SELECT cast(user_id AS varchar) AS video_id, event_id, user_id % 7 AS base, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS f FROM events),
+ o AS (SELECT video_id, f, 'FACE' AS label, f * 3.0 + base AS x, 0.0 AS y, 12.0 AS w, 10.0 AS h, 3.0 AS speed, 0.9 AS score, (event_id * 7919) % 11 < 7 AS seen FROM e
+  UNION ALL SELECT video_id, f, 'PLATE', f * 4.0 + base, 50.0, 14.0, 8.0, 4.0, 0.8, (event_id * 104729) % 13 < 5 FROM e),
+ s AS (SELECT *, f - lag(f) OVER (PARTITION BY video_id, label ORDER BY f) AS since, lead(f) OVER (PARTITION BY video_id, label ORDER BY f) AS later FROM o WHERE seen),
+ p AS (SELECT o.*, s.f AS known, s.since, s.later FROM o ASOF JOIN s ON o.video_id = s.video_id AND o.label = s.label AND o.f >= s.f)"""
+_MASKS = f"""WITH {_THINGS}, m AS (SELECT video_id, f, label, score, y, w, h, CASE WHEN seen THEN 0 ELSE 0.12 END AS pad,
+  CASE WHEN seen OR later - known <= 3 THEN x WHEN since <= 3 THEN x ELSE x - (f - known) * speed END AS left_x FROM p WHERE seen OR later - known <= 3 OR f - known <= 2)
+ SELECT video_id, cast(f AS int) AS frame_index, round(left_x - pad * w, 6)::double AS x1, round(y - pad * h, 6)::double AS y1, round(left_x + w + pad * w, 6)::double AS x2, round(y + h + pad * h, 6)::double AS y2, score::double AS score, label FROM m"""
+
+
+@query(_MASKS)
 def tracker_masks(spark, sf_dir):
-    rows = tracker.track_batch(_frames(spark, sf_dir))
+    return _mask_columns(tracker.track_batch(_frames(spark, sf_dir)))
+
+
+def _mask_columns(rows: DataFrame) -> DataFrame:
     return rows.select("video_id", "frame_index", F.explode("masks").alias("m")).select("video_id", "frame_index", *[F.round(f"m.{c}", 6).alias(c) for c in ("x1", "y1", "x2", "y2", "score")], "m.label")
 
 
-@query("SELECT cast(user_id AS varchar) AS video_id, count(*) FILTER ((event_id * 7919) % 11 < 7) AS raw_detections, count(*) AS frames FROM events GROUP BY 1")
+@query(f"""WITH {_THINGS}, n AS (SELECT video_id, max(f) AS final, count(*) AS frames FROM e GROUP BY 1),
+ c AS (SELECT video_id, count(*) AS raw_detections, count(*) FILTER (since IS NULL OR since > 3) AS tracks_created, coalesce(sum(since - 1) FILTER (since <= 3), 0) AS interpolated_masks, count(*) FILTER (coalesce(later, final) - f >= 4) AS expired_tracks FROM s JOIN n USING (video_id) GROUP BY 1),
+ g AS (SELECT video_id, count(*) AS propagated_masks FROM p WHERE NOT seen AND f - known <= 2 GROUP BY 1)
+ SELECT video_id, frames, coalesce(raw_detections, 0) AS raw_detections, coalesce(tracks_created, 0) AS tracks_created, cast(coalesce(interpolated_masks, 0) AS bigint) AS interpolated_masks, coalesce(propagated_masks, 0) AS propagated_masks, coalesce(expired_tracks, 0) AS expired_tracks FROM n LEFT JOIN c USING (video_id) LEFT JOIN g USING (video_id)""")
 def tracker_stats(spark, sf_dir):
     rows = tracker.track_batch(_frames(spark, sf_dir)).groupBy("video_id").agg(F.max("stats").alias("stats"), F.count("*").alias("frames"))
-    return rows.select("video_id", F.get_json_object("stats", "$.raw_detections").cast("long").alias("raw_detections"), "frames")
+    return rows.select("video_id", "frames", *[F.get_json_object("stats", f"$.{c}").cast("long").alias(c) for c in tracker.COUNTERS])
 
 
-@query()
+@query(f"""WITH {_THINGS} SELECT video_id, label, cast(f - since + 3 AS int) AS first_frame, cast(f - 1 AS int) AS last_frame FROM s
+ WHERE since > 3 AND since <= 30 AND speed * since <= sqrt(w * w + h * h) * 1.25 * (1 + 0.65 * least(since - 1, 6))""")
 def tracker_gaps(spark, sf_dir):
     rows = tracker.track_batch(_frames(spark, sf_dir)).where("stats is not null")
     gaps = F.from_json(F.get_json_object("stats", "$.unresolved_gaps"), "array<struct<label:string,first_frame:int,last_frame:int>>")
     return rows.select("video_id", F.explode(gaps).alias("g")).select("video_id", "g.*")
 
 
+@query(_MASKS + " WHERE f <= (SELECT max(z.f) FROM e z WHERE z.video_id = m.video_id) - 2")
+def streaming_tracker(spark, sf_dir):
+    """The tracker as keyed state over a stream of frames: all frames but the last two of
+    a video, which wait for what follows, and are as in the batch."""
+    from umbra.streaming import jobs
+
+    folder = jobs.scratch(spark, "frames")
+    _frames(spark, sf_dir).write.parquet(folder)
+    stream = spark.readStream.schema(tracker.FRAMES).parquet(folder)
+    return _mask_columns(jobs.to_table(jobs.track_stream(stream), "masks"))
+
+
 @query("""SELECT doc_id AS key, CASE WHEN doc_id % 5 = 0 OR doc_id % 3 = 0 THEN 'failed' WHEN doc_id % 2 = 0 THEN 'passed_with_warnings' ELSE 'passed' END AS verification_status FROM documents""")
 def video_verification(spark, sf_dir):
     k = F.col("doc_id")
@@ -547,17 +584,12 @@ def video_verification(spark, sf_dir):
 @query(_REWRITTEN.replace("REPLACEMENT", "'<' || entity_type || '>'"))
 def streaming_rewrite(spark, sf_dir):
     """The batch projection over a file stream, to the same rows."""
-    import uuid
-
     from umbra.streaming import jobs
 
-    name = f"redacted_{uuid.uuid4().hex}"
     source = documents(spark, sf_dir)
     stream = spark.readStream.schema(table(spark, sf_dir, "documents").schema).parquet(*_stream_path(spark, sf_dir))
     out = jobs.rewrite_stream(stream.select(*source.columns)).select("doc_id", F.col("redacted_text").alias("redacted"))
-    run = out.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name)
+    return jobs.to_table(out, "redacted")
 
 
 def _stream_path(spark, sf_dir):

@@ -4,13 +4,53 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from umbra.operators import results, tracker
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share, under ``spark.checkpoint.dir``; a folder of
+    this machine only where that is unset and Spark runs in one local process. It goes
+    when the driver's JVM ends."""
+    import tempfile
+    import uuid
+
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        known = sc._jsc.sc().getCheckpointDir()
+        if not known.isDefined():
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a shared folder")
+            sc.setCheckpointDir(tempfile.mkdtemp(prefix="umbra-"))
+            known = sc._jsc.sc().getCheckpointDir()
+        base = known.get()
+    path = f"{base.rstrip('/')}/umbra-{sc.applicationId}/{name}-{uuid.uuid4().hex}"
+    hadoop = sc._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
+
+
+def to_table(stream: DataFrame, name: str) -> DataFrame:
+    """What has arrived so far, written by the executors to a Parquet table with exactly
+    one copy of each row, and read back."""
+    spark = stream.sparkSession
+    folder = scratch(spark, name)
+    # a query with processing time timeouts would go on making batches without data
+    quiet = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(quiet)
+    spark.conf.set(quiet, "false")
+    try:
+        run = stream.writeStream.format("parquet").option("checkpointLocation", scratch(spark, f"{name}-progress")).outputMode("append").trigger(availableNow=True).start(folder)
+        run.awaitTermination()
+    finally:
+        spark.conf.set(quiet, before)
+    return spark.read.schema(stream.schema).parquet(folder)
+
+
 def rewrite_stream(stream: DataFrame, text_col: str = "text", options: results.Options | None = None) -> DataFrame:
     """The batch projection over a stream: stateless, append mode."""
     return results.rewrite_text(stream, text_col, options)
