@@ -60,7 +60,7 @@ def test_routing(spark):
     docs = spark.createDataFrame([("a.txt", "text"), ("b.pdf", "pdf"), ("c.bin", "unknown")], "name string, media_type string")
     route = lambda backend="auto", **k: {r.name: (r.backend, r.error) for r in routing.route(docs, routing.backends(spark, available=up, **k), backend).collect()}
     auto = route()
-    assert auto["a.txt"] == ("presidio", None) and auto["b.pdf"][0] is None and "no available backend" in auto["b.pdf"][1] and "no backend supports" in auto["c.bin"][1]
+    assert auto["a.txt"] == ("presidio", None) and auto["b.pdf"][0] is None and "no *available* backend" in auto["b.pdf"][1] and "no backend supports" in auto["c.bin"][1]
     assert route("builtin")["a.txt"] == ("builtin", None) and "does not support" in route("builtin")["b.pdf"][1]
     assert "unknown backend" in route("x")["a.txt"][1] and "not available" in route("pymupdf")["b.pdf"][1]
     assert route(registered=[("mine", ("unknown",), 1, (), "")])["c.bin"][0] == "mine"
@@ -94,6 +94,54 @@ def test_search_ranks_and_filters(spark):
     assert frames.a == [0, 3, 6] and frames.b == []
 
 
+def test_command_line_reports(spark, tree, capsys):
+    top, out, report = str(tree / "in"), str(tree / "out"), str(tree / "reports/run.json")
+    assert cli.main(["run", f"{top}/a.txt", f"{top}/noext", "-o", out, "--json", report, "--lang", "de", "--yolo-classes", "a, b", "--yolo-model", "m.pt"], spark) == 1
+    assert "no *available* backend for pdf (noext)" in capsys.readouterr().out
+    made = json.load(open(report))
+    assert made["summary"] == {"documents": 2, "failed": 1, "incomplete": 0, "entities": 2, "all_safe": False, "exit_code": 1}
+    assert [d["success"] for d in made["documents"]] == [True, False] and made["contains_pii_values"] is False
+    assert cli.main(["verify", f"{top}/a.txt", "--json", report, "--json-include-values"], spark) == 1
+    made = json.load(open(report))
+    assert made["summary"]["leaking"] == 1 and {f["text"] for f in made["artifacts"][0]["findings"]} == {"a@b.com", "123-45-6789"} and made["artifacts"][0]["media_type"] == "text"
+    assert cli.main(["verify", f"{top}/a.txt", "--json", report], spark) == 1
+    assert "a@b.com" not in open(report).read()
+    assert cli.main(["verify", f"{out}/a.redacted.txt", "--json", f"{top}/a.txt/no/folder.json"], spark) == 0  # the report fails, the answer stands
+    assert cli.main(["detect", top], spark) == 0
+    said = capsys.readouterr().out
+    assert "skipped" in said and "raw: unknown type" in said
+
+
+def test_a_failed_write_is_a_failed_row(spark, tree, capsys):
+    (tree / "blocked").write_text("a file where a folder should be")
+    assert cli.main(["run", f"{tree}/in/a.txt", f"{tree}/in/sub", "-o", f"{tree}/blocked"], spark) == 1
+    assert capsys.readouterr().out.count("FAIL") == 2
+
+
+def test_library(spark, tree):
+    import umbra
+
+    top = str(tree / "in")
+    missed = []
+    docs = list(umbra.iter_documents(spark, [f"{top}/sub", top], skipped=missed))
+    assert [d.name for d in docs][:1] == ["b.csv"] and sorted(d.name for d in docs) == ["a.txt", "b.csv", "b.csv", "m.eml", "noext", "w.docx"] and [x.rsplit("/", 1)[1] for x in missed] == ["raw"]
+    one = umbra.load_document(spark, f"{top}/a.txt")
+    assert one.read_text() == "mail a@b.com\nssn 123-45-6789" and umbra.detect_media_type(spark, f"{top}/noext") == umbra.MediaType.PDF
+    with pytest.raises(FileNotFoundError):
+        umbra.load_document(spark, f"{top}/typo")
+    with pytest.raises(IsADirectoryError):
+        umbra.load_document(spark, top)
+    suite = umbra.RedactionSuite(spark, options=umbra.RedactionOptions(output_dir=str(tree / "lib"), mode="mask"))
+    got = {r.source.rsplit("/", 1)[1]: r for r in suite.redact_paths([top])}
+    assert got["a.txt"].fully_redacted and got["a.txt"].entity_counts == {"EMAIL_ADDRESS": 1, "US_SSN": 1} and (tree / "lib/a.redacted.txt").exists()
+    assert "incomplete" in got["m.eml"].summary() and "failed" in got["noext"].summary() and str(got["a.txt"].entities[0]) == "EMAIL_ADDRESS[5:12] (0.85)"
+    registry = umbra.BackendRegistry.with_defaults()
+    assert umbra.select_backend(one, umbra.RedactionOptions(), registry).name == "builtin" and [b.name for b in umbra.candidates(one, registry)] == ["builtin", "presidio", "philter", "redactai"]
+    with pytest.raises(umbra.RoutingError):
+        umbra.select_backend(umbra.load_document(spark, f"{top}/raw"), umbra.RedactionOptions(), registry)
+    assert suite.describe_backends().first()["name"] == "builtin"
+
+
 def test_command_line(spark, tree, capsys):
     top, out = str(tree / "in"), str(tree / "out")
     assert cli.main(["list"], spark) == 0 and "builtin" in capsys.readouterr().out
@@ -108,5 +156,6 @@ def test_command_line(spark, tree, capsys):
     assert cli.main(["verify", f"{out}/a.redacted.txt", "--original", top], spark) == 0
     assert cli.main(["verify", f"{top}/a.txt"], spark) == 1
     assert cli.main(["verify", f"{out}/a.redacted.txt", "--original", f"{top}/typo"], spark) == 2
-    assert cli.main(["search", f"{top}/typo", "--vector", "[1]"], spark) == 2
+    assert cli.main(["search", "a bus", top], spark) == 2  # no model is installed
+    assert cli.main(["run", top, "--match", "a bus"], spark) == 2
     assert cli.labels(["email_address, us_ssn", "URL"]) == ["EMAIL_ADDRESS", "US_SSN", "URL"] and cli.labels([","]) is None

@@ -103,6 +103,14 @@ def run_report(results: DataFrame, include_values: bool = False, version: str =
     return run_summary(results).select(F.to_json(F.struct(*head, F.struct("documents", "failed", "incomplete", "entities", "all_safe", "exit_code").alias("summary"))).alias("report"))
 
 
+def summary_line() -> Column:
+    """One line of a result for a reader: state, source, what was found, output, notes."""
+    counts = F.array_join(F.transform(counts_map(), lambda c: F.concat(c["entity_type"], F.lit(" x"), c["n"].cast("string"))), ", ")
+    state = F.when(~F.col("success"), "FAIL").when(F.size("unredacted") > 0, "PART").otherwise("ok  ")
+    more = lambda c, before: F.when(F.coalesce(F.length(c), F.lit(0)) > 0, F.concat(F.lit(before), c)).otherwise("")
+    return F.concat(state, F.lit(" "), "source", F.lit(": "), F.size("entities").cast("string"), F.lit(" entities"), F.when(F.size("entities") > 0, F.concat(F.lit(" ("), counts, F.lit(")"))).otherwise(""), more(F.col("output"), " -> "), more(F.col("message"), " | "))
+
+
 def describe(entity: Column) -> Column:
     """One line for a reader, without the value."""
     place = F.when(entity["start"].isNotNull(), F.format_string("[%d:%d]", entity["start"], entity["end"])).otherwise("")

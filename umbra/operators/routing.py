@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+FLATTEN = "pdf-redact-tools"  # the fixed name of an external program
 _TEXT, _OFFICE = ("text", "structured"), ("docx", "xlsx", "pptx", "email")
 #: name, media types, priority, modules or tools it needs, description
 BACKENDS = [
@@ -15,7 +16,7 @@ BACKENDS = [
     ("yolo", ("image", "video"), 65, ("ultralytics", "cv2"), "objects by prompts, tracked in video"),
     ("redactai", ("pdf", "text"), 60, ("pypdf", "ollama service"), "spans by a language model, joined with the recognizers"),
     ("anonymizer", ("image", "video"), 60, ("anonymizer",), "faces and plates"),
-    ("pdf-redact-tools", ("pdf",), 40, ("pdf-redact-tools",), "flattens pages to images"),
+    (FLATTEN, ("pdf",), 40, (FLATTEN,), "flattens pages to images"),
     ("ocr", ("image",), 30, ("rapidocr_onnxruntime", "PIL"), "text in pixels"),
     ("builtin", (*_TEXT, *_OFFICE), 10, (), "recognizers, needs nothing"),
 ]
@@ -76,6 +77,6 @@ def route(docs: DataFrame, dimension: DataFrame, backend: str = "auto", name_col
     table = rows.select(F.explode("media_types").alias("m"), "*").groupBy("m").agg(best.alias("backend"), F.array_join(F.array_sort(F.collect_list("name")), ", ").alias("names"))
     joined = docs.join(F.broadcast(table), media == F.col("m"), "left")
     error = F.when(F.col("m").isNull(), F.concat(F.lit("no backend supports "), media, F.lit(" files ("), file, F.lit(")"))).when(
-        F.col("backend").isNull(), F.concat(F.lit("no available backend for "), media, F.lit(" ("), file, F.lit("); these could handle it: "), F.col("names"))
+        F.col("backend").isNull(), F.concat(F.lit("no *available* backend for "), media, F.lit(" ("), file, F.lit("); backends that could handle it: "), F.col("names"), F.lit(" — install one and retry"))
     )
     return joined.select(*[docs[c] for c in docs.columns], "backend", error.alias("error"))
