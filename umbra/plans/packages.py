@@ -13,8 +13,9 @@ import zipfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from umbra.operators import verify
-from umbra.plans.catalog import query, table
+from umbra.functions import recognizers, spans
+from umbra.operators import backends, results, routing, semantic, verify
+from umbra.plans.catalog import _RAW, _vectors, query, table
 from umbra.sources import containers, ingest
 from umbra.sources.containers import Settings
 
@@ -284,3 +285,119 @@ def verify_package_layers(spark, sf_dir):
     and the raw bytes are layers; a value counts once."""
     rows = verify.verify(packages(spark, sf_dir, "docx"), entities=["EMAIL_ADDRESS", "US_SSN", "PHONE_NUMBER"], layers=containers.binary_layers)
     return _keyed(rows, "layers_scanned", "finding_count", "status")
+
+
+# -- spans of a model, pieces, routing by name ------------------------------------------
+@query(f"""SELECT key, e.t AS entity_type, cast(e.s AS int) AS "start", cast(e.e AS int) AS "end", e.v AS text FROM (SELECT key, unnest([{{'t': 'PERSON', 's': 0, 'e': 4, 'v': 'Jane'}}, {{'t': 'EMAIL_ADDRESS', 's': 5, 'e': 5 + length(mail), 'v': mail}}, {{'t': 'US_SSN', 's': 6 + length(mail), 'e': 17 + length(mail), 'v': ssn}}]) AS e FROM ({_KEY}))""")
+def union_of_detectors(spark, sf_dir):
+    """A model's spans beside the recognizers': on equal spans the recognizer's label
+    stays, spans under the threshold go, and no recognizer's hit is lost."""
+    k = _strings(spark, sf_dir)
+    span = lambda label, a, b, score, text: F.struct(F.lit(label).alias("entity_type"), a.cast("int").alias("start"), b.cast("int").alias("end"), F.lit(score).alias("score"), text.alias("text"))
+    end = 5 + F.length("mail")
+    model = F.array(span("PERSON", F.lit(0), F.lit(4), 0.8, F.lit("Jane")), span("CONTACT", F.lit(5), end, 0.99, F.col("mail")), span("FAINT", F.lit(1), F.lit(3), 0.1, F.lit("an")))
+    text = F.concat_ws(" ", F.lit("Jane"), "mail", "ssn")
+    rows = k.select("key", F.explode(spans.union_detect(text, model, None, 0.35)).alias("e"))
+    return rows.select("key", "e.entity_type", "e.start", "e.end", "e.text")
+
+
+def _strings(spark, sf_dir) -> DataFrame:
+    k = F.col("c_custkey")
+    ssn = F.concat(F.lit("123-45-"), F.lpad((k % 9999 + 1).cast("string"), 4, "0"))
+    return table(spark, sf_dir, "customer").select(k.alias("key"), F.concat(F.lit("user"), k.cast("string"), F.lit("@example.com")).alias("mail"), ssn.alias("ssn"))
+
+
+@query(f"SELECT key, 'mail <EMAIL_ADDRESS>|| at | [fixed] ||<US_SSN>| end' AS pieces FROM ({_KEY})")
+def rewrite_split_string(spark, sf_dir):
+    """A string over several fragments: a replacement stands where its entity begins;
+    what can't be edited only counts."""
+    k = _strings(spark, sf_dir)
+    piece = lambda text, editable=True: F.struct(F.lit(editable).alias("editable"), text.alias("text"))
+    pieces = F.array(piece(F.concat(F.lit("mail "), F.substring("mail", 1, 4))), piece(F.substring(F.col("mail"), 5, 99)), piece(F.lit(" at ")), piece(F.lit(" [fixed] "), False), piece(F.lit("")), piece(F.col("ssn")), piece(F.lit(" end")))
+    return k.select("key", F.array_join(spans.rewrite_pieces(pieces)["texts"], "|").alias("pieces"))
+
+
+_FILES = "SELECT page_id, 'p' || page_id || ['.txt', '.pdf', '.bin'][1 + page_id % 3] AS name, ['text', 'pdf', 'unknown'][1 + page_id % 3] AS media_type FROM pages"
+
+
+def _files(spark, sf_dir) -> DataFrame:
+    kind = lambda *xs: F.element_at(F.array(*map(F.lit, xs)), (F.col("page_id") % 3 + 1).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("p"), F.col("page_id").cast("string"), kind(".txt", ".pdf", ".bin")).alias("name"), kind("text", "pdf", "unknown").alias("media_type"))
+
+
+@query(f"SELECT page_id, CASE WHEN media_type = 'text' THEN 'builtin' END AS backend, CASE WHEN media_type <> 'text' THEN 'backend ''builtin'' does not support ' || media_type || ' files (needed for ' || name || ')' END AS error FROM ({_FILES})")
+def route_by_name(spark, sf_dir):
+    return routing.route(_files(spark, sf_dir), routing.backends(spark, available={}), "builtin").select("page_id", "backend", "error")
+
+
+@query(f"""SELECT page_id, 'nope' AS wanted, 'unknown backend ''nope''. Known: anonymizer, builtin, deface, ocr, pdf-redact-tools, philter, presidio, pymupdf, redactai, yolo' AS error FROM ({_FILES})
+ UNION ALL SELECT page_id, 'pymupdf', CASE WHEN media_type = 'pdf' THEN 'backend ''pymupdf'' is not available: missing pymupdf' ELSE 'backend ''pymupdf'' does not support ' || media_type || ' files (needed for ' || name || ')' END FROM ({_FILES})
+ UNION ALL SELECT page_id, 'auto', CASE media_type WHEN 'pdf' THEN 'no *available* backend for pdf (' || name || '); backends that could handle it: pdf-redact-tools, pymupdf, redactai — install one and retry' WHEN 'unknown' THEN 'no backend supports unknown files (' || name || ')' END FROM ({_FILES})""")
+def route_messages(spark, sf_dir):
+    """What a user is told where no backend takes a file."""
+    docs, dimension = _files(spark, sf_dir), routing.backends(spark, available={b[0]: b[0] == "builtin" for b in routing.BACKENDS})
+    rows = [routing.route(docs, dimension, name).select("page_id", F.lit(name).alias("wanted"), "error") for name in ("nope", "pymupdf", "auto")]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+# -- what file formats write, texts, lines for readers -----------------------------------
+@query(f"SELECT key, 'a  b' AS guid, '<p14:creationId val=\"\"/>' AS creation, '<p:sldId id=\"\" r:id=\"r1\"/>' AS slide, 'xref' || chr(10) || chr(10) || 'text' AS xref, 'trailer  end' AS id FROM ({_KEY})")
+def structure_is_stripped(spark, sf_dir):
+    """Ids and offsets of Office and PDF files, which look like findings."""
+    n = F.lpad(F.col("key").cast("string"), 10, "0")
+    row = F.lpad(F.col("key").cast("string"), 8, "0")
+    return _strings(spark, sf_dir).select(
+        "key", spans.strip_ooxml(F.concat(F.lit("a {"), row, F.lit("-AB12-cd34-EF56-0123456789ab} b"))).alias("guid"), spans.strip_ooxml(F.concat(F.lit('<p14:creationId val="'), n, F.lit('"/>'))).alias("creation"),
+        spans.strip_ooxml(F.concat(F.lit('<p:sldId id="'), n, F.lit('" r:id="r1"/>'))).alias("slide"), spans.strip_pdf(F.concat(F.lit("xref\n"), n, F.lit(" 00000 n \ntext"))).alias("xref"),
+        spans.strip_pdf(F.concat(F.lit("trailer /ID [<"), row, F.lit("> <"), row, F.lit(">] end"))).alias("id"),
+    )
+
+
+@query("SELECT doc_id, regexp_replace(coalesce(text, ''), '\\n', chr(10), 'g') AS text FROM documents")
+def decode_line_ends(spark, sf_dir):
+    """Bytes with the line ends of other systems, read as text."""
+    ends = F.element_at(F.array(F.lit("\r\n"), F.lit("\r"), F.lit("\n")), (F.col("doc_id") % 3 + 1).cast("int"))
+    raw = F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), ends).cast("binary")
+    return table(spark, sf_dir, "documents").select("doc_id", ingest.decode(raw).alias("text"))
+
+
+@query(f"""SELECT key, CASE key % 3 WHEN 0 THEN 'ok   f' || key || '.txt: 2 entities (EMAIL_ADDRESS x1, US_SSN x1) -> out/f' || key WHEN 1 THEN 'PART f' || key || '.txt: 2 entities (EMAIL_ADDRESS x1, US_SSN x1) -> out/f' || key || ' | an attachment stays' ELSE 'FAIL f' || key || '.txt: 0 entities | unreadable' END AS line FROM ({_KEY})""")
+def result_lines(spark, sf_dir):
+    k, part = _strings(spark, sf_dir), F.col("key") % 3
+    found = F.when(part == 2, F.array().cast(f"array<{spans.ENTITY}>")).otherwise(spans.detect(F.concat_ws(" ", "mail", "ssn")))
+    rows = k.select(
+        "key", F.concat(F.lit("f"), F.col("key").cast("string"), F.lit(".txt")).alias("source"), (part != 2).alias("success"), found.alias("entities"), F.when(part == 1, F.array(F.lit("a.bin"))).otherwise(F.array().cast("array<string>")).alias("unredacted"),
+        F.when(part != 2, F.concat(F.lit("out/f"), F.col("key").cast("string"))).alias("output"), F.when(part == 1, "an attachment stays").when(part == 2, "unreadable").otherwise("").alias("message"),
+    )
+    return rows.select("key", results.summary_line().alias("line"))
+
+
+@query("SELECT * FROM (VALUES ('CREDIT_CARD'), ('EMAIL_ADDRESS'), ('IBAN_CODE'), ('IP_ADDRESS'), ('PHONE_NUMBER'), ('URL'), ('US_SSN'), ('US_ZIP_CODE')) t(entity_type)")
+def known_entities(spark, sf_dir):
+    return spark.createDataFrame([(x,) for x in recognizers.KNOWN_ENTITIES], "entity_type string")
+
+
+# -- search ----------------------------------------------------------------------------
+@query("SELECT key, array_to_string(list_slice(range(0, n, greatest(1, n // 8)), 1, 8), ',') AS frames FROM (SELECT c_custkey AS key, c_custkey % 100 AS n FROM customer)")
+def video_frame_sample(spark, sf_dir):
+    n = F.col("c_custkey") % 100
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.array_join(F.transform(semantic.frame_sample(n, 8), lambda x: x.cast("string")), ",").alias("frames"))
+
+
+@query("SELECT count(*) AS frames, count(DISTINCT label) AS files FROM embeddings")
+def index_files(spark, sf_dir):
+    return semantic.index_summary(table(spark, sf_dir, "embeddings").withColumn("path", F.col("label").cast("string")))
+
+
+@query(f"SELECT label, vec_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS rn FROM ({_RAW})) WHERE rn = 1 AND score >= 0.1")
+def semantic_search_per_file(spark, sf_dir):
+    """Files whose best frame reaches a threshold."""
+    index, q, _ = _vectors(spark, sf_dir)
+    return semantic.search(index, q, None, None, 0.1, "label").select("label", "vec_id", F.round("score", 6).alias("score"))
+
+
+@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'text in the picture was not examined (no OCR)' WHEN 1 THEN 'text in the picture still holds EMAIL_ADDRESS, US_SSN' END AS note FROM documents")
+def picture_text_note(spark, sf_dir):
+    k = F.col("doc_id") % 3
+    found = F.when(k == 1, F.array(F.lit("US_SSN"), F.lit("EMAIL_ADDRESS"), F.lit("US_SSN"))).otherwise(F.array().cast("array<string>"))
+    return table(spark, sf_dir, "documents").select("doc_id", backends.unexamined_note(k != 0, found).alias("note"))
