@@ -116,7 +116,7 @@ def plan_draws(rows: DataFrame, blocks: int | None, levels: int) -> tuple[DataFr
     plan = plan.withColumn("full", full).withColumn("rest", goal - F.col("full") * F.col("source_size"))
     plan = plan.withColumn("quota", F.greatest(F.lit(0), F.least(F.col("held"), F.col("rest") - F.col("words")))).drop("s", "w", "p")
     plan = materialize(plan.select("source", "block", "held", "place", "of", "full", "quota"), "blocks")
-    quotas = materialize(split(plan, levels).withColumnRenamed("source", "q"), "quotas")
+    quotas = split(plan, levels).withColumnRenamed("source", "q")
     passes = (F.col("full") + (F.col("quota") > 0).cast("long")).cast("int")
     # the shard of a source's n-th draw: how many shards end at or before it
     shard = lambda nth: F.size(F.filter("ends", lambda end: end <= nth))
@@ -131,7 +131,7 @@ def join_sources(rows: DataFrame, goals: DataFrame, totals: DataFrame) -> DataFr
     facts = goals.join(totals.select(F.col("source").alias("s"), "n"), goals["source"].eqNullSafe(F.col("s"))).drop("s")
     facts = facts.withColumn("key", F.concat_ws(":", F.col("source").isNull().cast("string"), "source")).drop("source")
     named = rows.withColumn("key", F.concat_ws(":", F.col("source").isNull().cast("string"), "source"))
-    return join_facts(named, materialize(facts, "facts"), "key", "n").drop("key", "n")
+    return join_facts(named, facts, "key", "n").drop("key", "n")
 
 
 def mix(docs: DataFrame, blocks: int | None = None, levels: int = LEVELS, **cols) -> DataFrame:
