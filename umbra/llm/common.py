@@ -100,6 +100,13 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def slices(batches, rows: int = 512):
+    """Arrow batches in slices, so that few texts are Python objects at a time."""
+    for b in batches:
+        for first in range(0, b.num_rows, rows):
+            yield b.slice(first, rows)
+
+
 def ascii_lower(column):
     """Lower-case A-Z and nothing else; null becomes the empty text."""
     return F.translate(F.coalesce(column, F.lit("")), UPPER, UPPER.lower())

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from umbra.llm.common import ascii_lower, drop_rows, join_facts, materialize, partitions
+from umbra.llm.common import ascii_lower, drop_rows, join_facts, materialize, partitions, slices
 
 FP_BITS = 48
 BLOCK_ROWS = 200_000
@@ -88,7 +88,7 @@ def _sender(owners: int):
     def run(batches):
         base, nth = TaskContext.get().partitionId() << 20, 0
         ids, shas, hashes = [], [], []
-        for batch in batches:
+        for batch in slices(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 raw = (text or "").encode().lower()  # of bytes: A-Z only
                 ids.append(doc_id)

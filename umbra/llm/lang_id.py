@@ -24,10 +24,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from umbra.llm.common import slices
+
 BITS = 16
 DIM = 1 << BITS
 SAMPLE = 20_000
 CELLS = 1 << 23
+FEW = 100_000  # languages whose table is broadcast
 SMOOTHING = 0.5
 CHUNK = 200_000
 
@@ -83,7 +86,7 @@ def _chunks(texts: list[str]):
 def _counter(dim: int):
     def count(batches):
         seen: dict[str, list] = {}
-        for batch in batches:
+        for batch in slices(batches):
             langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lang in set(langs):
                 mine = [t for g, t in zip(langs, texts) if g == lang and has_letter(t)]
@@ -109,8 +112,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE, id_col="doc_id", text_col="text",
     langs_n = sizes.count()
     dim = height(langs_n)
     share = F.least(F.lit(1.0), F.lit(sample / max(1, langs_n)) / F.col("rows"))
-    # one row for each language; the planner broadcasts it while it is small
-    drawn = labelled.join(sizes.select("lang", share.alias("share")), "lang").where(F.col("lot") < F.ceil(F.col("share") * (1 << 30)))
+    table = sizes.select("lang", share.alias("share"))  # a row for each language, counted above
+    drawn = labelled.join(F.broadcast(table) if langs_n <= FEW else table, "lang").where(F.col("lot") < F.ceil(F.col("share") * (1 << 30)))
     parts = drawn.select("lang", "text").mapInArrow(_counter(dim), "lang string, slot int, n long")
     table = parts.groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()  # CELLS rows at most
     names = table.column("lang").to_pylist()
@@ -153,7 +156,7 @@ def identify(docs: DataFrame, train: DataFrame | None = None, sample: int = SAMP
 
     def run(batches):
         names, logs = shared.value
-        for b in batches:
+        for b in slices(batches):
             pred, score = predict(b.column(2).to_pylist(), names, logs)
             yield pa.record_batch([b.column(0), b.column(1), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
@@ -169,7 +172,7 @@ def stage(spark, docs: DataFrame, sf_dir: str, least: float = 0.5) -> DataFrame:
 
     def run(batches):
         names, logs = shared.value
-        for b in batches:
+        for b in slices(batches):
             pred, score = predict(b.column(at).to_pylist(), names, logs)
             yield b.filter(pa.array([p != "und" and s >= least for p, s in zip(pred, score)], pa.bool_()))
 

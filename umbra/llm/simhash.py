@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from umbra.llm.common import drop_rows, join_facts, materialize, partitions
+from umbra.llm.common import drop_rows, join_facts, materialize, partitions, slices
 from umbra.llm.components import components
 
 RADIUS = 2
@@ -59,7 +59,7 @@ def fingerprint(text: str | None) -> int:
 
 
 def _fingerprints(batches):
-    for b in batches:
+    for b in slices(batches):
         texts = b.column(1).to_pylist()
         fps = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
         keys = np.array([xxhash.xxh64_intdigest((t or "").encode(), 42) for t in texts], np.uint64).view(np.int64)  # as F.xxhash64
