@@ -98,7 +98,7 @@ def test_mixing_meets_its_targets(docs, rows):
 def test_mixing_takes_what_the_tree_gives_to_shards(docs):
     rows = prose(400)
     sized = mixing.sized(docs(rows))
-    dealt, plan = mixing.plan_draws(sized, 32, 2)
+    _, _, plan = mixing.plan_draws(sized, 32, 2)
     plan = plan.collect()
     draws = {}
     for r in plan:
@@ -106,7 +106,7 @@ def test_mixing_takes_what_the_tree_gives_to_shards(docs):
         for s in r.shards:
             draws[r.source, s] = draws.get((r.source, s), 0) + 1
     # quotas of the tree: exact halves of halves of all draws, and each source's own
-    again = mixing.plan_draws(sized, 32, 2)[1]
+    again = mixing.plan_draws(sized, 32, 2)[2]
     quotas = {r.source: list(r.ends) for r in mixing.split(again.select("source", "full", "quota"), 2).collect()}
     for source, ends in quotas.items():
         assert [draws.get((source, s), 0) for s in range(4)] == [b - a for a, b in zip([0, *ends], ends)]

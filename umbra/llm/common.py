@@ -90,9 +90,10 @@ def join_facts(rows: DataFrame, facts: DataFrame, key: str, size: str) -> DataFr
     light = facts.where(F.col(size) * HEAVY < total)
     names = [c for c in facts.columns if c != key]
     first = rows.join(F.broadcast(heavy), key, "left").withColumnsRenamed({c: f"{c}__heavy" for c in names})
+    own, nil, same = free(rows, "own", "nil", "same")
     salt = F.when(F.col(f"{size}__heavy").isNotNull(), 1 + F.pmod(F.monotonically_increasing_id(), F.lit(1_000_003))).otherwise(0)
-    light = light.withColumnsRenamed({key: "__key"}).withColumn("__salt", F.lit(0).cast("long"))
-    both = first.withColumn("__own", salt.cast("long")).join(light, (F.col("__own") == F.col("__salt")) & (F.col(key) == F.col("__key")), "left")
+    light = light.withColumnsRenamed({key: same}).withColumn(nil, F.lit(0).cast("long"))
+    both = first.withColumn(own, salt.cast("long")).join(light, (F.col(own) == F.col(nil)) & (F.col(key) == F.col(same)), "left")
     return both.select(*rows.columns, *[F.coalesce(f"{c}__heavy", c).alias(c) for c in names])
 
 
@@ -105,6 +106,23 @@ def slices(batches, rows: int = 512):
     for b in batches:
         for first in range(0, b.num_rows, rows):
             yield b.slice(first, rows)
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task: Python workers live on
+    between tasks, and what they hold on to is an executor's."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def ascii_lower(column):

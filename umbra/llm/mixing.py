@@ -92,8 +92,8 @@ def _hash(*parts) -> Column:
     return F.xxhash64(F.lit(SEED), *parts)
 
 
-def plan_draws(rows: DataFrame, blocks: int | None, levels: int) -> tuple[DataFrame, DataFrame]:
-    """The rows of ``sized`` with their block, and the plan, a row for each block:
+def plan_draws(rows: DataFrame, blocks: int | None, levels: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows of ``sized`` with their block, the facts of the sources, and the plan, a row for each block:
     source, block, held (words), full (passes), quota (words of the last pass) and
     shards (the shard that draws it, by pass)."""
     totals = materialize(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), "totals")
@@ -103,7 +103,8 @@ def plan_draws(rows: DataFrame, blocks: int | None, levels: int) -> tuple[DataFr
     # as many blocks as a source's share of all words asks for: blocks + sources at most
     count = F.greatest(F.lit(1), F.ceil(blocks * F.col("source_size") / F.greatest(F.col("total"), F.lit(1)))).cast("long")
     goals = materialize(goals.withColumn("blocks", count), "targets")
-    dealt = join_sources(rows, goals, totals)
+    facts = source_facts(goals, totals)
+    dealt = join_facts(rows.withColumn("key", source_key("source")), facts, "key", "n").drop("key", "n")
     dealt = materialize(dealt.withColumn("block", F.pmod(_hash("doc_id", "th"), F.col("blocks"))), "dealt")
     held = dealt.groupBy("source", "block").agg(F.sum("size").alias("held"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
     goal = F.round("target").cast("long")
@@ -122,23 +123,26 @@ def plan_draws(rows: DataFrame, blocks: int | None, levels: int) -> tuple[DataFr
     shard = lambda nth: F.size(F.filter("ends", lambda end: end <= nth))
     shards = F.when(passes > 0, F.transform(F.sequence(F.lit(1), passes), lambda turn: shard((turn - 1) * F.col("of") + F.col("place")))).otherwise(F.array().cast("array<int>"))
     plan = plan.join(quotas, plan["source"].eqNullSafe(quotas["q"]), "left").withColumn("shards", shards)
-    return dealt, materialize(plan.select("source", "block", "held", "full", "quota", "shards"), "plan")
+    return dealt, facts, materialize(plan.select("source", "block", "held", "full", "quota", "shards"), "plan")
 
 
-def join_sources(rows: DataFrame, goals: DataFrame, totals: DataFrame) -> DataFrame:
-    """``rows`` with the facts of their source; large sources, by broadcast, hold up
-    no task."""
+def source_key(source) -> Column:
+    """A source as a string that is never null."""
+    return F.concat_ws(":", F.col(source).isNull().cast("string"), F.col(source).cast("string"))
+
+
+def source_facts(goals: DataFrame, totals: DataFrame) -> DataFrame:
+    """``goals`` by key, with the number of rows. Joined by ``join_facts``, large sources
+    hold up no task."""
     facts = goals.join(totals.select(F.col("source").alias("s"), "n"), goals["source"].eqNullSafe(F.col("s"))).drop("s")
-    facts = facts.withColumn("key", F.concat_ws(":", F.col("source").isNull().cast("string"), "source")).drop("source")
-    named = rows.withColumn("key", F.concat_ws(":", F.col("source").isNull().cast("string"), "source"))
-    return join_facts(named, facts, "key", "n").drop("key", "n")
+    return facts.withColumn("key", source_key("source")).drop("source")
 
 
 def mix(docs: DataFrame, blocks: int | None = None, levels: int = LEVELS, **cols) -> DataFrame:
     """doc_id, th, source, size, source_size, target, taken, and draws (array of shard
     and words, a draw each) for every row."""
     rows = materialize(sized(docs, **cols), "sized")
-    dealt, plan = plan_draws(rows, blocks, levels)
+    dealt, _, plan = plan_draws(rows, blocks, levels)
     drawn = dealt.join(plan.withColumnRenamed("source", "s").withColumnRenamed("block", "b"), dealt["source"].eqNullSafe(F.col("s")) & (dealt["block"] == F.col("b"))).drop("s", "b")
     # a third way only for the block in which a source's last pass ends
     cut = (F.col("quota") > 0) & (F.col("quota") < F.col("held"))
@@ -183,24 +187,33 @@ def first_words(text: Column, n: Column) -> Column:
 
 def deal(docs: DataFrame, name: str = "shard") -> DataFrame:
     """Rows of ``docs`` as often as the mix takes them, with their shard in the column
-    ``name``, by shard and
-    within it in the order of a hash. A shard is cut into slices by that hash, one a
-    partition, so that its size is bounded by no task."""
-    taken = mix(docs).where("taken > 0").select("doc_id", "th", "size", F.transform("draws", lambda d: F.struct(d["n"].alias("n"), d["shard"].alias("shard"))).alias("copies"))
-    taken = materialize(taken, "taken")
-    i, t, ti, tt, tsize, copies, nth, copy, n, shard, order = free(docs, "id", "th", "t_id", "t_th", "size", "copies", "nth", "copy", "n", "shard", "order")
-    # rows that repeat are one row here, which meets what each of them takes
-    named = docs.withColumns({i: F.col("doc_id").cast("long"), t: F.xxhash64(F.coalesce("text", F.lit("")))})
-    repeats = materialize(taken.groupBy("doc_id", "th").count().where("count > 1").select(F.col("doc_id").alias(ti), F.col("th").alias(tt)), "repeats")
-    same = F.col(i).eqNullSafe(F.col(ti)) & (F.col(t) == F.col(tt))
-    if not repeats.isEmpty():
-        again = named.join(repeats, same, "left_semi").dropDuplicates([i, t])
-        named = named.join(repeats, same, "left_anti").unionByName(again)
-    takes = taken.select(F.col("doc_id").alias(ti), F.col("th").alias(tt), F.col("size").alias(tsize), F.col("copies").alias(copies))
-    each = named.join(takes, same).select(*named.columns, tsize, F.posexplode(copies).alias(nth, copy))
-    each = each.withColumns({n: F.col(f"{copy}.n"), shard: F.col(f"{copy}.shard")})
-    text = F.when(F.col(n) < F.col(tsize), first_words(F.col("text"), F.col(n))).otherwise(F.col("text"))
-    each = each.withColumn("n_chars", F.when(F.col(n) < F.col(tsize), F.length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    ``name``, by shard and within it in the order of a hash. A shard is cut into slices
+    by that hash, one a partition, so that its size is bounded by no task.
+
+    Each row finds its block's draws where it is: of the plan, a row for each block, and
+    not of the documents, copies go around. Only the rows of blocks in which a source's
+    last pass ends meet each other before they are dealt."""
+    _, facts, plan = plan_draws(materialize(sized(docs), "sized"), None, LEVELS)
+    i, t, key, block, copies, size, nth, copy, n, shard, order = free(docs, "id", "th", "key", "block", "copies", "size", "nth", "copy", "n", "shard", "order")
+    named = docs.withColumns({i: F.col("doc_id").cast("long"), t: F.xxhash64(F.coalesce("text", F.lit(""))), key: source_key("source")})
+    named = named.where(F.col("text").rlike(WORD))  # the others have no words to take
+    own = facts.select(F.col("key").alias(key), F.col("blocks").alias(block), F.col("n").alias(n))
+    placed = join_facts(named, own, key, n).drop(n).withColumn(block, F.pmod(_hash(i, t), F.col(block)))
+    p = plan.select(*[F.col(c).alias(f"{order}{c}") for c in ("source", "block", "held", "full", "quota", "shards")])
+    of = lambda c: F.col(f"{order}{c}")
+    drawn = placed.join(p, (F.col(key) == source_key(f"{order}source")) & (F.col(block) == of("block")))
+    cut = (of("quota") > 0) & (of("quota") < of("held"))
+    whole = drawn.where(~cut).withColumns({copies: F.transform(of("shards"), lambda s: F.struct(F.lit(None).cast("long").alias("n"), s.alias("shard"))), size: F.lit(None).cast("long")})
+    within = Window.partitionBy(key, block).orderBy(_hash("source", i, t), i, t).rowsBetween(Window.unboundedPreceding, -1)
+    ends = drawn.where(cut).withColumn(size, words(F.col("text")))
+    ends = ends.withColumn(n, F.greatest(F.lit(0), F.least(F.col(size), of("quota") - F.coalesce(F.sum(size).over(within), F.lit(0)))))
+    last = F.transform(of("shards"), lambda s, k: F.struct(F.when(k < of("full"), F.col(size)).otherwise(F.col(n)).alias("n"), s.alias("shard")))
+    ends = ends.withColumn(copies, F.filter(last, lambda c: c["n"] > 0)).drop(n)
+    each = whole.unionByName(ends.select(*whole.columns))
+    each = each.select(*docs.columns, i, t, size, F.posexplode(copies).alias(nth, copy)).withColumns({n: F.col(f"{copy}.n"), shard: F.col(f"{copy}.shard")})
+    short = F.coalesce(F.col(n) < F.col(size), F.lit(False))
+    text = F.when(short, first_words(F.col("text"), F.col(n))).otherwise(F.col("text"))
+    each = each.withColumn("n_chars", F.when(short, F.length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     each = each.withColumn("text", text).withColumn(order, F.shiftrightunsigned(_hash(F.lit("order"), i, t, nth), 1))
     slices = -(-partitions(docs.sparkSession) // 2**LEVELS)
     slice_ = F.shiftright(F.shiftright(order, 31) * slices, 32)  # of equal width, in the order of the hash
