@@ -31,6 +31,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from umbra.llm.common import slices
+
 WINDOW = 1024
 END = 0
 SENTENCE_COST = 4
@@ -64,11 +66,13 @@ def _load(path: str) -> dict:
 
         from tokenizers import Tokenizer
 
+        from umbra.llm.common import give_back
+
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        kept = {"slow": Tokenizer.from_file(path), "fast": None, "checked": False}
-        size = max(1 << 16, kept["slow"].get_vocab_size(with_added_tokens=True))
-        ends = np.zeros(size, bool)
+        kept = {"fast": None, "checked": False}
+        top = max([0, *spec["model"]["vocab"].values(), *(x["id"] for x in spec.get("added_tokens", ()))]) if isinstance(spec["model"]["vocab"], dict) else Tokenizer.from_file(path).get_vocab_size()
+        ends = np.zeros(max(1 << 16, top + 1), bool)
         level = spec.get("pre_tokenizer") or {}
         bytewise = spec["model"]["type"] == "BPE" and level.get("type") == "ByteLevel"
         byte_of = _byte_of()
@@ -86,16 +90,28 @@ def _load(path: str) -> dict:
                 ranks.pop(content.encode(), None)
             kept["fast"] = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
         kept["enders"] = ends
+        kept["slow"] = None if kept["fast"] else Tokenizer.from_file(path)
         _made[path] = kept
+        del spec
+        give_back()
     return _made[path]
 
 
 def encode(texts: list[str], path: str | None = None) -> list[list[int]]:
     """Ids of ``tokenizers`` for the file at ``path``, with add_special_tokens=False."""
-    kept = _load(path or tokenizer_path())
-    slow, fast = kept["slow"], kept["fast"]
+    path = path or tokenizer_path()
+    kept = _load(path)
+    fast = kept["fast"]
+
+    def exact(t):
+        if kept["slow"] is None:
+            from tokenizers import Tokenizer
+
+            kept["slow"] = Tokenizer.from_file(path)
+        return kept["slow"].encode(t, add_special_tokens=False).ids
+
     if fast is None:
-        return [slow.encode(t, add_special_tokens=False).ids for t in texts]
+        return [exact(t) for t in texts]
     out = []
     for t in texts:
         try:
@@ -103,13 +119,14 @@ def encode(texts: list[str], path: str | None = None) -> list[list[int]]:
         except BaseException as e:  # a text that its regular expressions give up on
             if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
                 raise
-            out.append(slow.encode(t, add_special_tokens=False).ids)
+            out.append(exact(t))
     if not kept["checked"] and texts:
         kept["checked"] = True
         for t, ids in list(zip(texts, out))[:8]:
-            if len(t) < 10_000 and slow.encode(t, add_special_tokens=False).ids != ids:
+            if len(t) < 10_000 and exact(t) != ids:
                 kept["fast"] = None
                 return encode(texts, path)
+        kept["slow"] = None  # it is large, and seldom asked again
     return out
 
 
@@ -220,14 +237,12 @@ def _packer(path: str | None):
         def out():
             return pa.record_batch([pa.array(x, pa.int64()) for x in zip(*rows)], names=_NAMES)
 
-        for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1)
-            for a in range(0, len(ids), 256):
-                for doc_id, own in zip(ids[a : a + 256], encode([t or "" for t in texts[a : a + 256].to_pylist()], path)):
-                    rows += packer.add(doc_id, np.array(own + [END], np.uint32))
-                if len(rows) > 50_000:
-                    yield out()
-                    rows = []
+        for b in slices(batches, 256):
+            for doc_id, own in zip(b.column(0).to_pylist(), encode([t or "" for t in b.column(1).to_pylist()], path)):
+                rows += packer.add(doc_id, np.array(own + [END], np.uint32))
+            if len(rows) > 50_000:
+                yield out()
+                rows = []
         rows += packer.finish()
         if rows:
             yield out()

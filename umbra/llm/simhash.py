@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from umbra.llm.common import drop_rows, join_facts, materialize, partitions, slices
+from umbra.llm.common import drop_rows, give_back, join_facts, materialize, partitions, slices
 from umbra.llm.components import components
 
 RADIUS = 2
@@ -155,6 +155,7 @@ def _compare(batches):
             held_b, held_f = held_b[cut:], held_f[cut:]
     if len(held_b):
         yield out(held_b, held_f)
+    give_back()
 
 
 def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:

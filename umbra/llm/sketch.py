@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from umbra.functions.arrays import let
-from umbra.llm.common import materialize, partitions
+from umbra.llm.common import give_back, materialize, partitions
 
 CELLS = 24
 GROW = 4
@@ -207,6 +207,7 @@ def _pairs(batches):
                     rows.append((old_id, len(old), digest, old_base.pack(len(theirs)), edited_base.pack(len(edited)), likeness(theirs, edited, old_base, edited_base), likeness(theirs, mine, old_base, base)))
                 before = (rng, guest, doc_id, text, mine, base)
             yield pa.record_batch([pa.array(list(x), t) for x, t in zip(zip(*rows) if rows else [[]] * 7, types)], names=_NAMES)
+    give_back()
 
 
 def _range_of(place, bounds: list[tuple]):
