@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from umbra.functions import recognizers, spans
 from umbra.operators import backends, results, routing, semantic, verify
-from umbra.plans.catalog import _RAW, _vectors, query, table
+from umbra.plans.catalog import _RAW, _vectors, query, spread, table
 from umbra.sources import containers, ingest
 from umbra.sources.containers import Settings
 
@@ -102,7 +102,7 @@ def packages(spark, sf_dir, kind: str) -> DataFrame:
             made = [MAKERS[kind](k, f"user{k}@example.com", f"123-45-{k % 9999 + 1:04d}") for k in pdf["c_custkey"].tolist()]
             yield pd.DataFrame({"path": pdf["c_custkey"].astype(str), "media_type": kind, "content": made})
 
-    return table(spark, sf_dir, "customer").select("c_custkey").mapInPandas(run, "path string, media_type string, content binary")
+    return spread(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey").mapInPandas(run, "path string, media_type string, content binary")
 
 
 def _keyed(rows: DataFrame, *columns) -> DataFrame:
@@ -118,9 +118,10 @@ def texts(rows: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "path string, text string")
 
 
-def parts(rows: DataFrame, patterns: dict[str, tuple[str, str]]) -> DataFrame:
+def parts(rows: DataFrame, patterns: dict[str, tuple[str, str]], keep: tuple[str, ...] = ()) -> DataFrame:
     """One column for each (part, pattern): what the pattern's group finds in the part of
-    a rewritten package, repeats joined by a bar. ``*`` stands for the names of parts."""
+    a rewritten package, repeats joined by a bar. ``*`` stands for the names of parts.
+    The columns ``keep`` stay beside them, so a file is rewritten once for all columns."""
 
     def one(raw):
         with zipfile.ZipFile(io.BytesIO(raw)) as z:
@@ -133,9 +134,11 @@ def parts(rows: DataFrame, patterns: dict[str, tuple[str, str]]) -> DataFrame:
 
         for pdf in frames:
             found = pd.DataFrame([one(bytes(c)) for c in pdf["content"]], columns=list(patterns))
-            yield pd.concat([pdf[["path"]].reset_index(drop=True), found], axis=1)
+            yield pd.concat([pdf[["path", *keep]].reset_index(drop=True), found], axis=1)
 
-    return rows.select("path", "content").mapInPandas(run, "path string, " + ", ".join(f"`{n}` string" for n in patterns))
+    rows = rows.select("path", *keep, "content")
+    kept = "".join(f"`{k}` {rows.schema[k].dataType.simpleString()}, " for k in keep)
+    return rows.mapInPandas(run, f"path string, {kept}" + ", ".join(f"`{n}` string" for n in patterns))
 
 
 # -- Word ------------------------------------------------------------------------------
@@ -178,9 +181,9 @@ def docx_hidden_and_metadata(spark, sf_dir):
 def docx_images_stripped(spark, sf_dir):
     """Two pictures of one stem stay two; parts, relations and content types follow."""
     rows = containers.rewrite_containers(packages(spark, sf_dir, "docx"), Settings(images="strip"))
-    found = parts(rows, {"media": ("*", "(?m)^(word/media/.*)$"), "targets": ("word/_rels/document.xml.rels", r'Target="(media[^"]*)"'), "png": ("[Content_Types].xml", 'Extension="(png)"')})
-    counted = rows.select(F.col("path").alias("p"), F.size(F.filter("entities", lambda e: e["entity_type"] == "EMBEDDED_IMAGE")).cast("long").alias("images"), "message")
-    return _keyed(found.join(counted, F.col("path") == F.col("p")), "media", "targets", "png", "images", "message")
+    counted = rows.withColumn("images", F.size(F.filter("entities", lambda e: e["entity_type"] == "EMBEDDED_IMAGE")).cast("long"))
+    found = parts(counted, {"media": ("*", "(?m)^(word/media/.*)$"), "targets": ("word/_rels/document.xml.rels", r'Target="(media[^"]*)"'), "png": ("[Content_Types].xml", 'Extension="(png)"')}, ("images", "message"))
+    return _keyed(found, "media", "targets", "png", "images", "message")
 
 
 # -- Excel -----------------------------------------------------------------------------
@@ -224,10 +227,10 @@ def pptx_extract_text(spark, sf_dir):
 @query(f"SELECT key, 'EMAIL_ADDRESS in chart1' AS chart, 'DOCUMENT_AUTHOR in commentAuthors' AS authors, 'US_SSN in notesSlide1' AS notes, 'EMAIL_ADDRESS in slide1' AS slide, '1 embedded workbook(s) copied unchanged (book.xlsx)' AS unredacted, '<DOCUMENT_AUTHOR>|<DOCUMENT_AUTHOR>' AS names FROM ({_KEY})")
 def pptx_rewrite_notes(spark, sf_dir):
     rows = containers.rewrite_containers(packages(spark, sf_dir, "pptx"))
-    found = parts(rows, {"names": ("ppt/commentAuthors.xml", r'(?:name|initials)="([^"]*)"')}).withColumnRenamed("path", "p")
     note = lambda ending: F.element_at(F.filter(F.split("message", "; "), lambda m: m.endswith(ending)), 1)
-    both = rows.join(found, F.col("path") == F.col("p"))
-    return _keyed(both, note(" chart1").alias("chart"), note(" commentAuthors").alias("authors"), note(" notesSlide1").alias("notes"), note(" slide1").alias("slide"), F.array_join("unredacted", ",").alias("unredacted"), F.replace(F.replace("names", F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")).alias("names"))
+    told = rows.select("path", "content", note(" chart1").alias("chart"), note(" commentAuthors").alias("authors"), note(" notesSlide1").alias("notes"), note(" slide1").alias("slide"), F.array_join("unredacted", ",").alias("unredacted"))
+    found = parts(told, {"names": ("ppt/commentAuthors.xml", r'(?:name|initials)="([^"]*)"')}, ("chart", "authors", "notes", "slide", "unredacted"))
+    return _keyed(found, "chart", "authors", "notes", "slide", "unredacted", F.replace(F.replace("names", F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")).alias("names"))
 
 
 # -- mail ------------------------------------------------------------------------------
@@ -304,7 +307,7 @@ def union_of_detectors(spark, sf_dir):
 def _strings(spark, sf_dir) -> DataFrame:
     k = F.col("c_custkey")
     ssn = F.concat(F.lit("123-45-"), F.lpad((k % 9999 + 1).cast("string"), 4, "0"))
-    return table(spark, sf_dir, "customer").select(k.alias("key"), F.concat(F.lit("user"), k.cast("string"), F.lit("@example.com")).alias("mail"), ssn.alias("ssn"))
+    return spread(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey").select(k.alias("key"), F.concat(F.lit("user"), k.cast("string"), F.lit("@example.com")).alias("mail"), ssn.alias("ssn"))
 
 
 @query(f"SELECT key, 'mail <EMAIL_ADDRESS>|| at | [fixed] ||<US_SSN>| end' AS pieces FROM ({_KEY})")
