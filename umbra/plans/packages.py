@@ -95,14 +95,11 @@ MAKERS = {"docx": _word, "xlsx": _excel, "pptx": _point, "email": _mailbox}
 def packages(spark, sf_dir, kind: str) -> DataFrame:
     """(path, media_type, content) with the customer's key as path."""
 
-    def run(frames):
-        import pandas as pd
+    def made(k):
+        return [(str(k), kind, MAKERS[kind](k, f"user{k}@example.com", f"123-45-{k % 9999 + 1:04d}"))]
 
-        for pdf in frames:
-            made = [MAKERS[kind](k, f"user{k}@example.com", f"123-45-{k % 9999 + 1:04d}") for k in pdf["c_custkey"].tolist()]
-            yield pd.DataFrame({"path": pdf["c_custkey"].astype(str), "media_type": kind, "content": made})
-
-    return spread(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey").mapInPandas(run, "path string, media_type string, content binary")
+    keys = spread(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey")
+    return containers.map_files(keys, ("c_custkey",), made, "path string, media_type string, content binary")
 
 
 def _keyed(rows: DataFrame, *columns) -> DataFrame:
@@ -110,12 +107,10 @@ def _keyed(rows: DataFrame, *columns) -> DataFrame:
 
 
 def texts(rows: DataFrame) -> DataFrame:
-    def run(frames):
-        for pdf in frames:
-            read = lambda kind, raw: containers.mail_text(raw) if kind == "email" else containers.package_text(kind, raw)
-            yield pdf.assign(text=[read(k, bytes(c)) for k, c in zip(pdf["media_type"], pdf["content"])])[["path", "text"]]
+    def read(path, kind, raw):
+        return [(path, containers.mail_text(raw) if kind == "email" else containers.package_text(kind, raw))]
 
-    return rows.mapInPandas(run, "path string, text string")
+    return containers.map_files(rows, ("path", "media_type", "content"), read, "path string, text string")
 
 
 def parts(rows: DataFrame, patterns: dict[str, tuple[str, str]], keep: tuple[str, ...] = ()) -> DataFrame:
@@ -123,22 +118,15 @@ def parts(rows: DataFrame, patterns: dict[str, tuple[str, str]], keep: tuple[str
     a rewritten package, repeats joined by a bar. ``*`` stands for the names of parts.
     The columns ``keep`` stay beside them, so a file is rewritten once for all columns."""
 
-    def one(raw):
-        with zipfile.ZipFile(io.BytesIO(raw)) as z:
-            held = {n: z.read(n).decode("utf-8", "replace") for n in z.namelist()}
-        held["*"] = "\n".join(sorted(held))
-        return ["|".join(re.findall(p, held[n])) for n, p in patterns.values()]
-
-    def run(frames):
-        import pandas as pd
-
-        for pdf in frames:
-            found = pd.DataFrame([one(bytes(c)) for c in pdf["content"]], columns=list(patterns))
-            yield pd.concat([pdf[["path", *keep]].reset_index(drop=True), found], axis=1)
+    def one(*values):
+        *kept, raw = values
+        z = containers.Members(raw)
+        held = {n: z.read(n).decode("utf-8", "replace") for n in {n for n, _ in patterns.values()} - {"*"}}
+        held["*"] = "\n".join(sorted(z.names()))
+        return [(*kept, *("|".join(re.findall(p, held[n])) for n, p in patterns.values()))]
 
-    rows = rows.select("path", *keep, "content")
     kept = "".join(f"`{k}` {rows.schema[k].dataType.simpleString()}, " for k in keep)
-    return rows.mapInPandas(run, f"path string, {kept}" + ", ".join(f"`{n}` string" for n in patterns))
+    return containers.map_files(rows, ("path", *keep, "content"), one, f"path string, {kept}" + ", ".join(f"`{n}` string" for n in patterns))
 
 
 # -- Word ------------------------------------------------------------------------------
