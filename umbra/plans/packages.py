@@ -6,7 +6,6 @@ follow from the key, so that SQL can say what reading and rewriting them must gi
 
 from __future__ import annotations
 
-import io
 import re
 import zipfile
 
@@ -29,11 +28,8 @@ _KEY = "SELECT c_custkey AS key, 'user' || c_custkey || '@example.com' AS mail,
 
 
 def _zip(parts: dict) -> bytes:
-    raw = io.BytesIO()
-    with zipfile.ZipFile(raw, "w") as z:
-        for name, data in parts.items():
-            z.writestr(name, data)
-    return raw.getvalue()
+    members = ((n, d.encode() if isinstance(d, str) else d) for n, d in parts.items())
+    return containers.write_zip([(n, d, (zipfile.ZIP_STORED, d)) for n, d in members])
 
 
 def _word(k: int, mail: str, ssn: str) -> bytes:
