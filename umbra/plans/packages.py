@@ -145,7 +145,7 @@ SELECT key, e.t AS entity_type, cast(e.s AS int) AS "start", cast(e.e AS int) AS
  {{'t': 'DOCUMENT_AUTHOR', 's': NULL, 'e': NULL, 'v': 'Author ' || key}}, {{'t': 'DOCUMENT_AUTHOR', 's': NULL, 'e': NULL, 'v': 'A' || key}}, {{'t': 'DOCUMENT_AUTHOR', 's': NULL, 'e': NULL, 'v': 'Author ' || key}}, {{'t': 'DOCUMENT_AUTHOR', 's': NULL, 'e': NULL, 'v': 'Editor ' || key}}]) AS e FROM k)""")
 def docx_entities(spark, sf_dir):
     """Offsets over the visible text; what is hidden, metadata or a link has none."""
-    rows = containers.rewrite_containers(packages(spark, sf_dir, "docx")).select("path", F.explode("entities").alias("e"))
+    rows = containers.rewrite_containers(packages(spark, sf_dir, "docx"), dry_run=True).select("path", F.explode("entities").alias("e"))
     return _keyed(rows, "e.entity_type", "e.start", "e.end", "e.text")
 
 
